@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm import decontaminate, line_dedup, mixing, omh, warc
+from larkgrid.llm import chosen_path, decontaminate, line_dedup, mixing, omh, warc
 from larkgrid.llm.common import materialize, table
 
 
@@ -25,6 +25,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.captures(table(spark, sf_dir, "pages"))
     notes = F.element_at("metadata", 1)["fields"]
@@ -98,6 +102,25 @@ LEFT JOIN cuts c ON (z.source IS NULL) = c.no AND coalesce(z.source, '') = c.nam
 LEFT JOIN subcuts b ON (z.source IS NULL) = b.no AND coalesce(z.source, '') = b.name
 """
 
+OP6_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '{_WORD}') AS l FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+    ELSE list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n, g FROM s),
+e AS (SELECT doc_id, n, hash(unnest(g)) AS h FROM n),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common
+  FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * common >= 85 * (nx + ny - common)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x AS v, x AS r FROM edges UNION SELECT reach.v, edges.y FROM reach JOIN edges ON reach.r = edges.x),
+comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
+SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM n LEFT JOIN comp ON v = doc_id
+"""
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
@@ -114,10 +137,11 @@ def queries() -> dict:
         "op1_line_dedup": op1_line_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_mix_sources": op4_mix_sources,
+        "op6_chosen_path": op6_chosen_path,
         "op8_warc": op8_warc,
         "op10_order_minhash": op10_order_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op6_chosen_path": OP6_SQL, "op8_warc": OP8_SQL}
