@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm import chosen_path, decontaminate, line_dedup, mixing, omh, warc
+from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing, omh, warc
 from larkgrid.llm.common import materialize, table
 
 
@@ -29,6 +29,17 @@ def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs), host=F.col("source"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages, with declared language, address suffix and host."""
+    pages = table(spark, sf_dir, "pages")
+    return langid.identify(pages, langid.fit(table(spark, sf_dir, "documents")), key="page_id", **langid.page_evidence(pages))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.captures(table(spark, sf_dir, "pages"))
     notes = F.element_at("metadata", 1)["fields"]
@@ -138,6 +149,8 @@ def queries() -> dict:
         "op3_decontaminate": op3_decontaminate,
         "op4_mix_sources": op4_mix_sources,
         "op6_chosen_path": op6_chosen_path,
+        "op7_language_id": op7_language_id,
+        "page_languages": page_languages,
         "op8_warc": op8_warc,
         "op10_order_minhash": op10_order_minhash,
     }
