@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing, omh, warc
+from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing, ngram_lm, omh, warc
 from larkgrid.llm.common import materialize, table
 
 
@@ -14,6 +14,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+    out = ngram_lm.score_texts(table(spark, sf_dir, "documents"), "doc_id", fold != 1)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +54,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         notes["page-id"].cast("long").alias("page_id"),
         F.when(is_revisit, notes["payload-bytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
-        F.when(is_revisit, stated).otherwise(F.sha1("response.payload")).alias("payload_digest"),
+        F.when(is_revisit, stated).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),
         F.when(is_revisit, notes["refers-to-page-id"].cast("long")).alias("refers_to"),
     )
@@ -146,6 +152,7 @@ FROM w
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_lm_score": op2_lm_score,
         "op3_decontaminate": op3_decontaminate,
         "op4_mix_sources": op4_mix_sources,
         "op6_chosen_path": op6_chosen_path,
