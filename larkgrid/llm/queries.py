@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing, ngram_lm, omh, warc
+from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing, ngram_lm, omh, toxicity, warc
 from larkgrid.llm.common import materialize, table
 
 
@@ -60,6 +60,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_texts(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.edited_neighbours(table(spark, sf_dir, "documents"))
 
@@ -159,6 +166,7 @@ def queries() -> dict:
         "op7_language_id": op7_language_id,
         "page_languages": page_languages,
         "op8_warc": op8_warc,
+        "op9_toxicity": op9_toxicity,
         "op10_order_minhash": op10_order_minhash,
     }
 
