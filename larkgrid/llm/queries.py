@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing, ngram_lm, omh, toxicity, warc
+from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing, ngram_lm, omh, style_tree, toxicity, warc
 from larkgrid.llm.common import materialize, table
 
 
@@ -31,6 +31,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = style_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -162,6 +167,7 @@ def queries() -> dict:
         "op2_lm_score": op2_lm_score,
         "op3_decontaminate": op3_decontaminate,
         "op4_mix_sources": op4_mix_sources,
+        "op5_style_tree": op5_style_tree,
         "op6_chosen_path": op6_chosen_path,
         "op7_language_id": op7_language_id,
         "page_languages": page_languages,
