@@ -18,6 +18,11 @@ SALTS = 16
 STEP_BYTES = 1 << 21
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 8 MB at most, whatever the texts' length; for the session, as plans are made late."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,6 +78,21 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit set of fixed size: bit h mod bits is set for every long h. Made by the executors, bits / 32 rows reach the driver at most."""
+    at = hashes.select(F.pmod(column, F.lit(bits)).alias("bit")).distinct()
+    packed = at.groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(F.sum(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("v")).toPandas()
+    out = np.zeros(bits // 32, np.uint32)
+    out[packed["w"].to_numpy(np.int64)] = packed["v"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_filter(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Indices of the uint64 hashes whose bit is set."""
+    bit = hashes & np.uint64(len(table) * 32 - 1)
+    return np.flatnonzero((table[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+
+
 def row_groups(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most `most` bytes, or of one row."""
     i, n = 0, len(offsets) - 1
@@ -81,3 +101,14 @@ def row_groups(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[in
         j = min(n, max(j, i + 1))
         yield i, j
         i = j
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A written table of short rows, marked for broadcast if its counted size allows it; the same join without the mark otherwise."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, column: str, most_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose doc_id isn't in the column of gone. A list of counted size is broadcast; beyond, both are shuffled."""
+    gone = materialize(gone.select(F.col(column).alias("__gone")).where("__gone is not null").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, most_rows), F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, row_groups, salt_of, text_buffers
+from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, drop_ids, in_filter, row_groups, salt_of, text_buffers
 from larkgrid.llm.tokens import U64, mix64, seeds, words
 
 #: Fixed masks: 1 is compared, 0 is ignored. Weight 6 over spans of 6 to 11 words.
@@ -60,18 +60,9 @@ def item_seeds(benchmark: DataFrame, masks: tuple = MASKS) -> DataFrame:
     return _texts(benchmark, "item_id").mapInArrow(emit, f"h long, item_id {dict(benchmark.dtypes)['item_id']}, at int, mask int")
 
 
-def seed_filter(seeds_of_items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit set of fixed size, whatever the benchmark's size: bit h mod bits is set for every seed hash h."""
-    words64 = seeds_of_items.select(F.pmod("h", F.lit(bits)).alias("bit")).distinct()
-    packed = words64.groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(F.sum(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("v")).toPandas()  # at most bits / 32 rows
-    out = np.zeros(bits // 32, np.uint32)
-    out[packed["w"].to_numpy(np.int64)] = packed["v"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
 def find_hits(docs: DataFrame, seeds_of_items: DataFrame, masks: tuple = MASKS, bits: int = FILTER_BITS) -> DataFrame:
     """Distinct (doc_id, item_id, diagonal) where a document and an item share a seed."""
-    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds_of_items, bits))  # bits / 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(seeds_of_items, "h", bits))  # bits / 8 bytes
     kind = dict(docs.dtypes)["doc_id"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +73,7 @@ def find_hits(docs: DataFrame, seeds_of_items: DataFrame, masks: tuple = MASKS,
                 h, before = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for m, mask in enumerate(masks):
                     value, row, at = seed_hashes(h, before, mask, m)
-                    bit = value & U64(bits - 1)
-                    hit = np.flatnonzero((table[(bit >> U64(5)).astype(np.int64)] >> (bit & U64(31)).astype(np.uint32)) & np.uint32(1))
+                    hit = in_filter(table, value)
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(value[hit].view(np.int64)), batch.column(0).take(pa.array(row[hit] + i)), pa.array(at[hit].astype(np.int32)), pa.array(np.full(len(hit), m, np.int32))], ["h", "doc_id", "doc_at", "mask"])
 
@@ -119,6 +109,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, min_
     Rows without an id or text, and items shorter than every mask, match nothing; empty tables give an empty table; equal
     rows are one. Ties between overlaps go to the earlier place. Very common passages cost one row per document and item.
     """
+    bounded_batches(docs.sparkSession)
     items = item_seeds(benchmark, masks)
     hits = find_hits(docs, items, masks, bits)
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -153,5 +144,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, min_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that share no passage with the benchmark; rows without doc_id or text stay."""
-    leaky = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaky, F.col("doc_id") == F.col("__leak"), "left_anti")
+    return drop_ids(docs, find_leaks(docs, benchmark, **options), "doc_id")

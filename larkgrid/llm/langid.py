@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkgrid.llm.common import all_salts, materialize, row_groups, salt_of, text_buffers
+from larkgrid.llm.common import all_salts, bounded_batches, drop_ids, materialize, row_groups, salt_of, text_buffers
 from larkgrid.llm.tokens import LOWER, mix64
 
 BINS, FIT_ROWS, TEMPER, KAPPA, ACCEPT, UNKNOWN = 1 << 16, 20_000, 60, 20.0, 0.5, "und"
@@ -115,6 +115,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str | Col
     """
     none = F.lit(None).cast("string")
     rows = docs.select(F.col(key).alias(key), *[(c if c is not None else none).cast("string").alias(n) for n, c in (("host", host), ("suffix", suffix), ("declared", declared))], (F.col(text) if isinstance(text, str) else text).alias("text"))
+    bounded_batches(docs.sparkSession)
     names = model.languages
     k = len(names)
     if not k:
@@ -179,5 +180,4 @@ def keep_identified(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     if not model.languages:
         return docs
     judged = identify(docs, model, host=F.col("source"), accept=accept)
-    gone = judged.groupBy("doc_id").agg(F.max("accepted").alias("any")).where("not any").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return drop_ids(docs, judged.groupBy("doc_id").agg(F.max("accepted").alias("any")).where("not any"), "doc_id")

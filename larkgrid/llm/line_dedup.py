@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, delete_path, materialize, new_path, salt_of
+from larkgrid.llm.common import all_salts, bounded_batches, delete_path, materialize, new_path, salt_of
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
@@ -102,6 +102,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     table gives an empty table. Extra columns pass through; existing n_lines and n_dropped are replaced.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     keys = materialize(line_keys(docs, min_chars), "line-keys")
     cuts = keys.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
     bounds = [None, *sorted(set(cuts or []), reverse=True), None]

@@ -161,8 +161,15 @@ FROM w
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_line_dedup": op1_line_dedup,
         "op2_lm_score": op2_lm_score,
         "op3_decontaminate": op3_decontaminate,

@@ -40,13 +40,18 @@ def _byte_values() -> np.ndarray:
     return seeds(256, 11)[LOWER]
 
 
-@functools.cache
+_held: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    up, down = np.full(n, _BASE, U64), np.full(n, inverse, U64)
-    up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+    """At least n powers of the base and of its inverse; only the longest made so far is held."""
+    if not _held or len(_held[0][0]) < n:
+        size = max(n, STEP_BYTES + (1 << 12))
+        up, down = np.full(size, _BASE, U64), np.full(size, pow(_BASE, -1, 1 << 64), U64)
+        up[0] = down[0] = 1
+        with np.errstate(over="ignore"):
+            _held[:] = [(np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64))]
+    return _held[0]
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +79,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, side="right")))
             lo, hi = int(starts[i]), int(ends[j - 1])
             size = hi - lo
-            up, down = _powers(1 << max(16, int(size).bit_length()))
+            up, down = _powers(size)
             total = np.empty(size + 1, U64)
             total[0] = 0
             np.cumsum(_byte_values()[data[lo:hi]] * up[:size], dtype=U64, out=total[1:])
