@@ -3,8 +3,8 @@
 The pages of a host are merged into one tree of styles: a node is a path of block elements (tag and class), and of each node
 the tree knows how often it has which sequence of children (presentation) and which text (content). The importance of a node is
 the normalised entropy of these: what looks and reads alike on every page of a site is worth nothing. A branch's importance is
-the mean over its nodes, weighted down with depth. Branches of low importance are removed from each page, besides what tags,
-classes and roles call boilerplate; of the rest the article is taken where the page marks one.
+the mean over its nodes, weighted down with depth. Branches in which no part has more than a low importance are removed from
+each page, besides what tags, classes and roles call boilerplate; of the rest the article is taken where the page marks one.
 
 The tree is never in one place: pages give counted (host, path, feature) rows, entropies are sums over them, and a branch's mean
 is an aggregate over the prefixes of paths.
@@ -211,11 +211,17 @@ def noise_branches(pages: DataFrame, least: float = LEAST, fewest: int = PAGES,
     counts = features.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
     nodes = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     own = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    parts = F.split("path", "/")
-    branches = nodes.select("host", "m", own.alias("own"), parts.alias("parts"), F.explode(F.sequence(F.lit(2), F.size(parts))).alias("n"))
-    weight = F.pow(F.lit(gamma), F.size("parts") - F.col("n")) * F.col("m")
-    branches = branches.groupBy("host", F.concat_ws("/", F.slice("parts", 1, F.col("n"))).alias("path")).agg((F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance"), F.max("m").alias("m"))
-    low = branches.where((F.col("m") >= fewest) & (F.col("importance") < least))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        parts = F.split("path", "/")
+        return df.withColumn("parts", parts).withColumn("k", F.explode(F.sequence(F.lit(2), F.size("parts")))).withColumn("path", F.concat_ws("/", F.slice("parts", 1, F.col("k"))))
+
+    weight = F.pow(F.lit(gamma), F.size("parts") - F.col("k")) * F.col("m")
+    importance = (F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance")
+    branches = prefixes(nodes.select("host", "path", "m", own.alias("own"))).groupBy("host", "path").agg(importance, F.max("m").alias("m"))
+    # a branch goes if it and all below it are of low importance
+    whole = prefixes(branches.withColumn("at", F.col("path"))).groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max(F.when(F.col("path") == F.col("at"), F.col("m"))).alias("m"))
+    low = whole.where((F.col("m") >= fewest) & (F.col("importance") < least))
     return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
