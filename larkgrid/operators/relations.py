@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def track_matches(obs: DataFrame, track: str, order: list[str], image: str, most_gap: int = 4, least: int = 30) -> DataFrame:
     """Image pairs that share enough tracks: observations of one track at most most_gap apart in order. One window, no self-join."""
     w = Window.partitionBy(track).orderBy(*order)
-    ahead = obs.select(F.col(image).alias("a"), F.explode(F.array(*[F.lead(image, g).over(w) for g in range(1, most_gap + 1)])).alias("b"))
+    ahead = obs.select(F.col(image).alias("a"), F.array(*[F.lead(image, g).over(w) for g in range(1, most_gap + 1)]).alias("next")).select("a", F.explode("next").alias("b"))
     return ahead.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkgrid.plans import series
+from larkgrid.plans import links, points, series
 
 FLAGSHIP = "telemetry_summary"
-MODULES = (series,)
+MODULES = (series, points, links)
 
 
 def queries() -> dict:
