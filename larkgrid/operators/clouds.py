@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +74,8 @@ def nearest(probe: DataFrame, ref: DataFrame, key: str, ref_key: str, keep: list
     """The k nearest reference points of every probe point, exactly, by rings that double until each has k proven ones.
 
     A neighbour is proven if it lies within the radius of the round, because all points within it have been seen. The first
-    radius follows from the density of the reference; each round only carries the points that are still open, as a written
-    table where `checkpoint` (DataFrame, name -> DataFrame) is given. Fewer than k reference points give as many as there are.
+    radius follows from the density of the reference; each round only carries the points that are still open. A round's pairs
+    are kept by `checkpoint` (DataFrame, name -> DataFrame), a written table on a cluster, or else persisted. Fewer than k reference points give as many as there are.
     """
     box = ref.agg(F.count(F.lit(1)).alias("n"), *[F.max(a).alias(f"{a}1") for a in XYZ], *[F.min(a).alias(f"{a}0") for a in XYZ]).first()
     reach = probe.agg(*[F.max(a).alias(f"{a}1") for a in XYZ], *[F.min(a).alias(f"{a}0") for a in XYZ]).first()
@@ -86,12 +84,12 @@ def nearest(probe: DataFrame, ref: DataFrame, key: str, ref_key: str, keep: list
     span = [max(box[f"{a}1"] - box[f"{a}0"], 1e-9) for a in XYZ]
     whole = sum((max(box[f"{a}1"], reach[f"{a}1"]) - min(box[f"{a}0"], reach[f"{a}0"])) ** 2 for a in XYZ) ** 0.5 + 1e-9
     k = min(k, box.n)
-    radius = start or min(whole, 2 * max((span[0] * span[1] * span[2] / box.n) ** (1 / 3), max(span) / box.n))
+    # about eight reference points in a cell, were they spread evenly
+    radius = start or min(whole, max((8 * span[0] * span[1] * span[2] / box.n) ** (1 / 3), max(span) / box.n))
     done, open_ = None, probe
-    for _ in range(ceil(64)):
+    for _ in range(64):
         found = within(open_, ref, radius, key, ref_key, keep, k)
-        if checkpoint:
-            found = checkpoint(found, "nearest")
+        found = checkpoint(found, "nearest") if checkpoint else found.persist()
         full = found.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == k).select(key)
         settled = found.join(full, key, "left_semi")
         done = settled if done is None else done.unionByName(settled)
