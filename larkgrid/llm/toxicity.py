@@ -23,7 +23,7 @@ from larkgrid.llm.tokens import LOWER, U64, hashes, mix64, spans
 WINDOW, STRIDE, HIDDEN, ATTEND, WORD_DIM, CHAR_DIM, CHAR_BINS = 48, 32, 16, 8, 6, 6, 1 << 16
 N_GRAMS = (4, 5, 6)
 #: At most so many labelled rows of each class, and bytes of a text, are used for training.
-FIT_POSITIVE, FIT_NEGATIVE, FIT_BYTES, EPOCHS, BATCH = 1500, 3000, 200_000, 4, 64
+FIT_POSITIVE, FIT_NEGATIVE, FIT_BYTES, EPOCHS, BATCH = 1000, 2000, 200_000, 4, 64
 _PUNCT = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
@@ -39,8 +39,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return s, e, before
 
 
-def char_bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of the character n-grams of each word, word ends marked, and where each word's begin. Every word has one at least."""
+def char_bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the character n-grams of each word, word ends marked, and where each word's begin. Every word has one at least. Works through `step` words at a time."""
+    parts = [_char_bins(data, starts[i : i + step], ends[i : i + step]) for i in range(0, len(starts), step)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    shift = np.cumsum([0, *(len(b) for b, _ in parts[:-1])])
+    return np.concatenate([b for b, _ in parts]), np.concatenate([a + k for (_, a), k in zip(parts, shift)])
+
+
+def _char_bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = ends - starts
     at = np.concatenate([[0], np.cumsum(n + 2)])
     buf = np.full(int(at[-1]) + max(N_GRAMS), 0x02, np.uint8)
@@ -63,7 +71,7 @@ def char_bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         owner.append(word[ok])
     values, owner = np.concatenate(values), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return values[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(n)))
+    return values[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(n)))
 
 
 def windows(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,12 +211,18 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def log_odds(rows: np.ndarray, items: np.ndarray, labels: np.ndarray, n: int, strength: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log odds of the positive class for each item by the distinct rows it is in, and in how many."""
-    pairs = distinct(rows.astype(np.int64) * n + items)
-    item, y = pairs % n, labels[pairs // n]
-    df = np.bincount(item, minlength=n)
-    pos = np.bincount(item, weights=y, minlength=n)
+def log_odds(row: np.ndarray, labels: np.ndarray, n: int, items_of, strength: float = 8.0, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log odds of the positive class for each of n items by the texts it is in, and in how many.
+
+    row: of each token, rising; items_of(tokens a to b): (rows, items) of these. Works through `step` texts at a time.
+    """
+    df, pos = np.zeros(n), np.zeros(n)
+    for i in range(0, len(labels), step):
+        a, b = np.searchsorted(row, [i, i + step])
+        rows, items = items_of(int(a), int(b))
+        pairs = distinct((rows - i).astype(np.int64) * n + items)
+        df += np.bincount(pairs % n, minlength=n)
+        pos += np.bincount(pairs % n, weights=labels[i + pairs // n], minlength=n)
     share = float(labels.mean())
     odds = np.log((pos + strength * share) / (df - pos + strength * (1 - share))) - np.log(share / (1 - share))
     return odds.astype(np.float32), df
@@ -233,11 +247,15 @@ def fit(texts: list[bytes], labels: np.ndarray, positive_share: float, epochs: i
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     bins, begins = char_bins(data, starts[first], ends[first])
     n_bins = np.diff(np.append(begins, len(bins)))
-    odds, df = log_odds(row, codes, labels, len(uniques))
-    pair = distinct(row.astype(np.int64) * len(uniques) + codes)
-    pr, pu = pair // len(uniques), pair % len(uniques)
-    take = np.repeat(begins[pu], n_bins[pu]) + np.arange(int(n_bins[pu].sum())) - np.repeat(np.cumsum(n_bins[pu]) - n_bins[pu], n_bins[pu])
-    char_odds, char_df = log_odds(np.repeat(pr, n_bins[pu]), bins[take], labels, CHAR_BINS)
+    odds, df = log_odds(row, labels, len(uniques), lambda a, b: (row[a:b], codes[a:b]))
+
+    def bins_of(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        pair = distinct(row[a:b].astype(np.int64) * len(uniques) + codes[a:b])
+        r, u = pair // len(uniques), pair % len(uniques)
+        at = np.repeat(begins[u], n_bins[u]) + np.arange(int(n_bins[u].sum())) - np.repeat(np.cumsum(n_bins[u]) - n_bins[u], n_bins[u])
+        return np.repeat(r, n_bins[u]), bins[at]
+
+    char_odds, char_df = log_odds(row, labels, CHAR_BINS, bins_of)
     char_odds[char_df < 5] = 0
     keep = np.flatnonzero(df >= 3)
     keep = keep[np.argsort(uniques[keep])]
