@@ -5,10 +5,10 @@ In each of several independent trees, a node's documents branch on a few coordin
 holds those that share the minwise token there. Nodes of at most `leaf` documents are compared exhaustively: by sketches
 first, then, for documents with a likely partner, on full sets, and only between documents that are not connected yet.
 
-Large groups of near copies never split. So each large node is first compared, in chunks, with a few of its own documents
-(hubs), and the components so far are computed. A node within one component is done. One with few documents outside its
-largest component is compared exactly, those documents against all, chunk by chunk. Only the others branch again; what is
-still large after the last level is compared chunk by chunk too. No group of copies is ever in one task, and none is cut.
+Large groups of near copies never split. Nodes that are still large after the last level and share documents are merged into
+families. A family is first compared, in chunks, with a few of its own documents (hubs), and the components so far are
+computed. Then the documents outside its largest component are compared with all of it, chunk by chunk. No group of copies is
+ever in one task, and none is cut.
 """
 
 from __future__ import annotations
@@ -17,16 +17,17 @@ from collections.abc import Iterator
 from math import sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, materialize, row_groups, salt_of, text_buffers
+from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, drop_ids, in_filter, materialize, row_groups, salt_of, text_buffers
 from larkgrid.llm.components import components
 from larkgrid.llm.tokens import U64, mix64, seeds, shingles, words
 
-SIG, TREES, BRANCH, LEVELS, LEAF, HUBS = 64, 3, 3, 3, 256, 8
+SIG, TREES, BRANCH, LEVELS, LEAF, CHUNK, HUBS = 64, 3, 3, 3, 256, 512, 8
 
 
 def minwise(values: np.ndarray, before: np.ndarray, n: int = SIG, seed: int = 3) -> np.ndarray:
@@ -173,24 +174,42 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def shared_counts(sets: list[np.ndarray], which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of `which`: the sizes of its intersections with all sets (none of them empty)."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *(len(x) for x in sets[:-1])])
+    ids = pd.factorize(flat)[0]
+    mark = np.zeros(len(flat), np.int32)
+    for a in which.tolist():
+        own = ids[starts[a] : starts[a] + len(sets[a])]
+        mark[own] = 1
+        yield a, np.add.reduceat(mark[ids], starts)
+        mark[own] = 0
+
+
 def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect, within each part, what links on full sets connect."""
     kind = dict(parts.dtypes)["rep"]
     parts = materialize(parts, "parts")
-    needed = parts.select("rep").distinct()
+    needed = materialize(reps.join(parts.select("rep").distinct(), "rep").select("rep", "key", "sig", "n"), "needed")
+    # whole texts stay where they are: a bit filter, 16 bits a set up to 32 MB, picks those whose sets are needed
+    bits = 1 << min(28, max(16, (16 * needed.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(needed.select(F.xxhash64("rep").alias("h")), "h", bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(in_filter(shared.value, batch.column(2).to_numpy().view(U64))))
             data, offsets = text_buffers(batch.column(1))
             for i, j in row_groups(offsets):
                 values, before = shingles(*words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), k)
-                keys = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(before[:-1], before[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(before[:-1], before[1:])], pa.binary())], ["rep", "key", "values"])
+                ends = list(zip(before[:-1], before[1:]))
+                keys = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in ends]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), pa.array([values[a:b].tobytes() for a, b in ends], pa.binary())], ["rep", "key", "values"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep").select("rep", "text")
-    full = texts.mapInArrow(sets, f"rep {kind}, key binary, values binary")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", F.xxhash64("doc_id").alias("h"))
     # rows of equal doc_id: the one that the representative stands for
-    full = full.join(reps.select("rep", "key", "sig", "n").join(needed, "rep"), ["rep", "key"]).dropDuplicates(["rep"])
+    full = texts.mapInArrow(sets, f"rep {kind}, key binary, values binary").join(needed.withColumnRenamed("key", "own"), "rep").where("key = own")
+    full = full.groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("values").alias("values"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
@@ -205,10 +224,16 @@ def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
                     cache[x] = np.frombuffer(raw[x].as_py(), U64)
                 return cache[x]
 
-            for a, b in zip(i.tolist(), j.tolist()):
-                ra, rb = find(parent, a), find(parent, b)
-                if ra != rb and jaccard_at_least(values(a), values(b), percent):
-                    parent[ra] = rb
+            if len(i) > 4 * len(n):  # many likely pairs: each document against all at once
+                for a, common in shared_counts([values(x) for x in range(len(n))], np.unique(i)):
+                    for b in np.flatnonzero(100 * common >= percent * (n[a] + n - common)).tolist():
+                        ra, rb = find(parent, a), find(parent, b)
+                        parent[ra] = rb
+            else:
+                for a, b in zip(i.tolist(), j.tolist()):
+                    ra, rb = find(parent, a), find(parent, b)
+                    if ra != rb and jaccard_at_least(values(a), values(b), percent):
+                        parent[ra] = rb
             roots = np.array([find(parent, x) for x in range(len(n))])
             order = mix64(np.arange(len(n), dtype=U64) ^ gid.view(U64))  # the centre of each star differs from group to group
             centre = {}
@@ -223,54 +248,61 @@ def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
     return sent.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(link, f"a {kind}, b {kind}").distinct()
 
 
-def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: int = TREES, branches: int = BRANCH, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
+def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: int = TREES, branches: int = BRANCH, levels: int = LEVELS, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between representatives whose components are those of all links (each link is met with a probability of
     over 0.999 at these settings)."""
-    nodes, edges = branch(reps, trees, branches), None
-    groups = []
-
-    def add(new: DataFrame) -> DataFrame:
-        return materialize(new if edges is None else edges.union(new), "links")
-
+    nodes, groups, large = branch(reps, trees, branches), [], None
     for level in range(levels):
         nodes = materialize(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node", "m", all_salts("salt"))
         nodes = materialize(nodes.withColumn("salt", salt_of("rep")).join(sizes, ["node", "salt"]).drop("salt"), "nodes")
         groups.append(nodes.where(F.col("m") <= leaf).select(F.col("node").alias("gid"), "rep", F.lit(0).alias("side")))
-        large = nodes.where(F.col("m") > leaf).distinct()
+        large = nodes.where(F.col("m") > leaf).select("node", "rep")
         if large.isEmpty():
+            large = None
             break
-        # compare each large node with a few of its documents
-        chunks = F.ceil(F.col("m") / leaf)
-        gid = F.xxhash64("node", "chunk")
-        hubs = large.groupBy("node", F.pmod(F.xxhash64("rep", "node"), F.lit(HUBS)).alias("cell")).agg(F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("h"), F.max("m").alias("m"))
-        hubs = hubs.select("node", F.col("h.rep").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).alias("side"))
-        rest = large.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select("node", "rep", "chunk", F.lit(1).alias("side"))
-        around = hubs.unionByName(rest).groupBy(gid.alias("gid"), "rep").agg(F.min("side").alias("side"))
-        edges = add(verify(candidates(around, reps, percent), docs, reps, k, percent))
-        # what is not within one component yet
-        comps = components(edges)
-        labelled = materialize(large.join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "labelled")
-        by_comp = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
-        state = by_comp.groupBy("node").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("top.n").alias("top_n"), F.col("top.c").alias("top_c"), all_salts("salt"))
-        open_ = materialize(labelled.withColumn("salt", salt_of("rep")).join(state, ["node", "salt"]).withColumn("minor", F.col("m") - F.col("top_n")), "open")
-        last = level == levels - 1
-        exact = open_ if last else open_.where(F.col("minor") <= leaf)
-        minor_chunks, all_chunks = F.ceil(F.col("minor") / leaf), chunks
-        split = exact.withColumns({"mc": F.pmod(F.xxhash64("rep", "node"), minor_chunks), "ac": F.pmod(F.xxhash64("rep"), all_chunks)})
-        few = split.where("c <> top_c").select("node", "rep", "mc", F.explode(F.sequence(F.lit(0).cast("long"), all_chunks - 1)).alias("ac"), F.lit(0).alias("side"))
-        every = split.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), minor_chunks - 1)).alias("mc"), "ac", F.lit(1).alias("side"))
-        groups.append(few.unionByName(every).groupBy(F.xxhash64("node", "mc", "ac").alias("gid"), "rep").agg(F.min("side").alias("side")))
-        if last:
-            break
-        deeper = open_.where(F.col("minor") > leaf)
-        if deeper.isEmpty():
-            break
-        nodes = branch(deeper.select("node", "rep").join(reps.select("rep", "sig"), "rep"), trees, 2)
+        if level < levels - 1:
+            nodes = branch(large.join(reps.select("rep", "sig"), "rep"), trees, 2)
+    edges = None
+    if large is not None:
+        edges, split = families(large, docs, reps, k, percent, chunk)
+        groups.append(split)
     together = groups[0]
     for g in groups[1:]:
         together = together.unionByName(g)
-    return add(verify(candidates(together, reps, percent), docs, reps, k, percent))
+    found = verify(candidates(together, reps, percent), docs, reps, k, percent)
+    return materialize(found if edges is None else edges.union(found), "links")
+
+
+def families(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """For nodes (node, rep) that don't split: edges found with hubs, and groups (gid, rep, side) that compare the rest exactly.
+
+    Nodes of one family hold much the same documents, once for each tree and coordinate; so nodes that share a document are one
+    from here on, and its documents are compared once.
+    """
+    first = large.groupBy("rep").agg(F.min("node").alias("b"))
+    of_node = components(large.join(first, "rep").select(F.col("node").alias("a"), "b").distinct())
+    named = of_node.select(F.col("v").alias("node"), "c", all_salts("salt"))
+    members = large.withColumn("salt", salt_of("rep")).join(named, ["node", "salt"]).select(F.col("c").alias("node"), "rep").distinct()
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("m")).select("node", "m", all_salts("salt"))
+    members = materialize(members.withColumn("salt", salt_of("rep")).join(sizes, ["node", "salt"]).drop("salt"), "families")
+    chunks = F.ceil(F.col("m") / chunk)
+    hubs = members.groupBy("node", F.pmod(F.xxhash64("rep", "node"), F.lit(HUBS)).alias("cell")).agg(F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("h"), F.max("m").alias("m"))
+    hubs = hubs.select("node", F.col("h.rep").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).alias("side"))
+    rest = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select("node", "rep", "chunk", F.lit(1).alias("side"))
+    around = hubs.unionByName(rest).groupBy(F.xxhash64("node", "chunk").alias("gid"), "rep").agg(F.min("side").alias("side"))
+    edges = materialize(verify(candidates(around, reps, percent), docs, reps, k, percent), "links")
+    # what is not within one component yet: the documents outside a family's largest component against all of it
+    comps = components(edges)
+    labelled = materialize(members.join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "labelled")
+    by_comp = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
+    state = by_comp.groupBy("node").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("top.n").alias("top_n"), F.col("top.c").alias("top_c"), all_salts("salt"))
+    open_ = labelled.withColumn("salt", salt_of("rep")).join(state, ["node", "salt"])
+    few_chunks = F.ceil((F.col("m") - F.col("top_n")) / chunk)
+    split = materialize(open_.withColumns({"few": few_chunks, "all": chunks, "i": F.pmod(F.xxhash64("rep", "node"), few_chunks), "j": F.pmod(F.xxhash64("rep"), chunks)}), "split")
+    outside = split.where("c <> top_c").select("node", "rep", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
+    every = split.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), "j", F.lit(1).alias("side"))
+    return edges, outside.unionByName(every).groupBy(F.xxhash64("node", "i", "j").alias("gid"), "rep").agg(F.min("side").alias("side"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -281,6 +313,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -
     with nothing. component_id is the smallest doc_id reachable; kept marks it. Rows of equal doc_id are one vertex. Rows
     without doc_id are linked with nothing, have a null component_id and are kept. Empty tables give an empty table.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sk = materialize(sketches(docs, k), "sketches")
     same = sk.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("s"), F.count(F.lit(1)).alias("copies"))
@@ -296,5 +329,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but those whose component has a smaller doc_id; of equal rows all stay."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return drop_ids(docs, near_duplicates(docs, k, percent).where("not kept"), "doc_id")

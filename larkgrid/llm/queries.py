@@ -52,7 +52,7 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.captures(table(spark, sf_dir, "pages"))
+    found = warc.captures(table(spark, sf_dir, "pages"), payloads=False)
     notes = F.element_at("metadata", 1)["fields"]
     is_revisit = F.col("response.warc_type") == "revisit"
     stated = F.lower(F.regexp_extract("response.payload_digest", "^sha1:(.*)$", 1))

@@ -8,18 +8,20 @@ Content-Length. The assembler joins records through concurrent-to identifiers, o
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, new_path, salt_of
+from larkgrid.llm.common import all_salts, bounded_batches, broadcast_if_small, materialize, new_path, salt_of
 
 MIN_REVISIT_BYTES, RECORDS_PER_FILE = 1000, 6000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "warc_type string, record_id string, concurrent_to array<string>, target_uri string, warc_date string, refers_to string, payload_digest string, headers map<string,string>, http_status int, http_headers string, payload binary, payload_bytes long, fields map<string,string>"
+RECORD = "warc_type string, record_id string, concurrent_to array<string>, target_uri string, warc_date string, refers_to string, payload_digest string, payload_sha1 string, headers map<string,string>, http_status int, http_headers string, payload binary, payload_bytes long, fields map<string,string>"
 
 
 def _lines(*lines: Column | str) -> Column:
@@ -40,7 +42,7 @@ def _record(kind: str, record_id: Column, uri: Column, content_type: str, block:
     return F.concat(head, F.lit("\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Archives of pages (page_id, url, html) under path: per row a request, a response or revisit, and a metadata record.
 
     Of rows with equal payloads (html in UTF-8; null is empty) of at least min_revisit_bytes, the one with the largest page_id
@@ -50,11 +52,15 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REV
     html = F.coalesce(F.col("html"), F.lit(""))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))), "\r", "%0D"), "\n", "%0A"), " ", "%20")
     rows = pages.select("page_id", url.alias("url"), html.alias("html")).withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html").cast("long")})
+    ids = materialize(rows.select("page_id", "digest", "bytes"), "page-ids")
+    repeated = materialize(ids.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("again")), "repeated-ids")
     nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    rows = rows.withColumn("nth", nth)
-    same = pages.select("page_id", html.alias("html")).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("bytes")).where(F.col("bytes") >= min_revisit_bytes)
-    same = same.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id", all_salts("salt"))
-    rows = rows.withColumn("salt", salt_of("page_id", "nth")).join(same, ["digest", "salt"], "left")
+    again = broadcast_if_small(repeated)
+    on = F.col("page_id").eqNullSafe(F.col("again"))
+    rows = rows.join(again, on, "left_anti").withColumn("nth", F.lit(1)).unionByName(rows.join(again, on, "left_semi").withColumn("nth", nth))
+    same = ids.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = materialize(same.select("digest", "first_id", all_salts("salt")), "same-payloads")
+    rows = rows.withColumn("salt", salt_of("page_id", "nth")).join(broadcast_if_small(same), ["digest", "salt"], "left")
     who = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     first = F.coalesce(F.col("first_id").cast("string"), F.lit("null"))
     is_revisit = F.col("first_id").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("nth") == 1))
@@ -74,11 +80,13 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REV
     fields = _lines(F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string")), F.concat(F.lit("refers-to-page-id: "), F.when(is_revisit, first).otherwise("")))
     metadata = _record("metadata", metadata_id, uri, "application/warc-fields", fields, concurrent)
     records = rows.select(F.explode(F.array(request, F.when(is_revisit, revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
-    """The records of an uncompressed archive, in order. A truncated last record and bytes between records are skipped."""
+    """The records of an archive, in order; a gzipped one may have one member or one a record. A truncated last record and bytes between records are skipped."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at, size = 0, len(data)
     while at < size:
         if not data.startswith(b"WARC/", at):
@@ -122,14 +130,14 @@ def record_row(headers: dict[str, str], concurrent: list[str], block: bytes) ->
         payload = block
     return {
         "warc_type": kind, "record_id": headers.get("warc-record-id"), "concurrent_to": concurrent, "target_uri": headers.get("warc-target-uri"), "warc_date": headers.get("warc-date"),
-        "refers_to": headers.get("warc-refers-to"), "payload_digest": headers.get("warc-payload-digest"), "headers": list(headers.items()), "http_status": status, "http_headers": http,
+        "refers_to": headers.get("warc-refers-to"), "payload_digest": headers.get("warc-payload-digest"), "payload_sha1": hashlib.sha1(payload).hexdigest() if payload is not None else None, "headers": list(headers.items()), "http_status": status, "http_headers": http,
         "payload": payload, "payload_bytes": len(payload) if payload is not None else None, "fields": list(fields.items()),
     }
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under path, in the columns RECORD. Archives are read whole, one at a time."""
-    kind = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("target_uri", pa.string()), ("warc_date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http_status", pa.int32()), ("http_headers", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))])
+    kind = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("target_uri", pa.string()), ("warc_date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_sha1", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http_status", pa.int32()), ("http_headers", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +159,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A record belongs to the response or revisit that it names in concurrent-to, that names it, or that a record which it names
     belongs to (metadata -> request -> response). Records that reach none are left out; a capture without request or metadata
-    has empty arrays. Only identifiers are joined to find captures; payloads move once.
+    has empty arrays. Only identifiers are joined to find captures; payloads move once, or never where records come without
+    them.
     """
     heads = records.where(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"))
     links = records.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
@@ -160,7 +169,7 @@ def assemble(records: DataFrame) -> DataFrame:
     two = links.join(one.select(F.col("record_id").alias("b"), "capture_id"), "b").select(F.col("a").alias("record_id"), "capture_id")
     reached = one.withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2)))
     belongs = reached.groupBy("record_id").agg(F.min(F.struct("hops", "capture_id")).alias("m")).select("record_id", F.col("m.capture_id").alias("capture_id"))
-    nested = F.struct("record_id", "warc_type", "target_uri", "warc_date", "refers_to", "payload_digest", "http_status", "http_headers", "payload", "payload_bytes", "fields")
+    nested = F.struct(*[c for c in records.columns if c not in ("concurrent_to", "headers")])
     head = records.where(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), nested.alias("response"))
     side = records.where(F.col("warc_type").isin("request", "metadata")).join(belongs, "record_id").select("capture_id", "warc_type", nested.alias("r"))
     side = side.groupBy("capture_id").agg(F.collect_list(F.when(F.col("warc_type") == "request", F.col("r"))).alias("requests"), F.collect_list(F.when(F.col("warc_type") == "metadata", F.col("r"))).alias("metadata"))
@@ -168,8 +177,11 @@ def assemble(records: DataFrame) -> DataFrame:
     return head.join(side, "capture_id", "left").select("capture_id", "response", F.coalesce("requests", empty).alias("requests"), F.coalesce("metadata", empty).alias("metadata"))
 
 
-def captures(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """Write pages to archives in the shared folder, read them back and assemble: see write_archives, read_archives, assemble."""
+def captures(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE, payloads: bool = True) -> DataFrame:
+    """Write pages to archives in the shared folder, read them back and assemble: see write_archives, read_archives, assemble.
+    payloads: whether captures carry their payloads, besides the sizes and digests of these."""
+    bounded_batches(pages.sparkSession)
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_revisit_bytes, records_per_file)
-    return assemble(read_archives(pages.sparkSession, path))
+    records = read_archives(pages.sparkSession, path).drop("headers", *([] if payloads else ["payload", "http_headers"]))
+    return assemble(materialize(records, "warc-records"))

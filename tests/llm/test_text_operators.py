@@ -132,7 +132,7 @@ def test_large_groups_of_near_copies_are_whole(spark):
     vocab = [f"w{i}" for i in range(3000)]
     rows = list(enumerate(family(rng, vocab, 150, 4) + family(rng, vocab, 40, 2) + [" ".join(rng.choices(vocab, k=60)) for _ in range(40)]))
     docs = make(spark, rows)
-    got = chosen_path.near_duplicates(docs, 3, 85, leaf=16).collect()
+    got = chosen_path.near_duplicates(docs, 3, 85, leaf=16, chunk=32).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_components(rows, 3, 85)
 
 
