@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkgrid.plans import links, points, series
+from larkgrid.plans import frames, links, points, series
 
 FLAGSHIP = "telemetry_summary"
-MODULES = (series, points, links)
+MODULES = (series, points, links, frames)
 
 
 def queries() -> dict:

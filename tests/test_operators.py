@@ -156,3 +156,37 @@ def test_selections(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 5.0), ("b", 3, 1.0)], "g string, k int, v double")
     assert sorted(tuple(r) for r in select.arg_best(df, ["g"], F.struct("v", "k"), ["k"]).collect()) == [("a", 2), ("b", 3)]
     assert [r[0] for r in spark.createDataFrame([(2, 0.9, 2.0, 9.0), (9, 0.6, 1.5, 2.0), (9, 0.3, 0.1, 0.1), (9, 0.0, 0.1, 0.1)], "n int, s double, m double, p double").select(relations.pass_verdict(F.col("s"), F.col("m"), F.col("p"), F.col("n"))).collect()] == ["too-short", "3d", "weak-3d", "degenerate"]
+
+
+def test_frames(spark):
+    from larkgrid.operators import frames
+
+    rng = random.Random(2)
+    rows = [(p, i, [max(0.0, 1 - 0.1 * (d + 1)) for d in range(20)], float(rng.randint(0, 3))) for p in range(3) for i in range(25)]
+    df = spark.createDataFrame(rows, "pass int, i int, overlap array<double>, sharp double")
+    for p in range(3):
+        got = [r.i for r in frames.greedy_keyframes(df, ["pass"], "i", "overlap", "sharp", 0.29, 0.75).where(f"pass = {p}").orderBy("i").collect()]
+        sharp, at, expect = {i: s for q, i, _, s in rows if q == p}, 0, [0]
+        while at < 24:
+            band = [j for j in range(at + 3, min(at + 7, 24) + 1)]
+            at = max(band, key=lambda j: (sharp[j], j)) if band else 24
+            expect.append(at)
+        assert got == expect
+    snapped = frames.snap_distinct(spark.createDataFrame([("a", 1.0, [0.0, 2.0, 9.0]), ("a", 1.2, [0.0, 2.0, 9.0]), ("a", 1.9, [0.0, 2.0, 9.0])], "g string, t double, grid array<double>"), ["g"], "t", "grid")
+    assert [r.snapped for r in snapped.orderBy("t").collect()] == [0.0, 2.0, 9.0]
+    flat = frames.flatten(spark.createDataFrame([(1, '{"a": {"b": 1, "c": [1, {"d": "x"}]}, "l": [1,2,3,4,5,6,7], "n": null}')], "id int, j string").withColumn("v", F.parse_json("j")), ["id"], "v")
+    assert sorted((r.path, r.value) for r in flat.collect()) == [("a.b", "1"), ("a.c.0", "1"), ("a.c.1.d", "x"), ("l", "[7 items]"), ("n", None)]
+
+
+def test_images(spark):
+    from larkgrid.operators import frames
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (12, 16), dtype=np.uint8)
+    framed = np.zeros((12, 16), np.uint8)
+    framed[2:10, 1:15] = 200
+    df = spark.createDataFrame([(1, bytearray(a.tobytes()), 16), (2, bytearray(framed.tobytes()), 16)], "g int, luma binary, width int")
+    lap = {r.g: r.sharpness for r in frames.laplacian_variance(df).collect()}
+    x = a.astype(float)
+    assert abs(lap[1] - (x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var(ddof=1)) < 1e-9
+    assert {tuple(r) for r in frames.letterbox(df, ["g"]).collect()} == {(1, 0, 12, 0, 16), (2, 2, 10, 1, 15)}
