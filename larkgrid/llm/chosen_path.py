@@ -254,8 +254,8 @@ def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: in
     nodes, groups, large = branch(reps, trees, branches), [], None
     for level in range(levels):
         nodes = materialize(nodes, "nodes")
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node", "m", all_salts("salt"))
-        nodes = materialize(nodes.withColumn("salt", salt_of("rep")).join(sizes, ["node", "salt"]).drop("salt"), "nodes")
+        # narrow rows; where a node holds a large share of them, adaptive execution splits the join
+        nodes = materialize(nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "node"), "nodes")
         groups.append(nodes.where(F.col("m") <= leaf).select(F.col("node").alias("gid"), "rep", F.lit(0).alias("side")))
         large = nodes.where(F.col("m") > leaf).select("node", "rep")
         if large.isEmpty():
@@ -274,6 +274,14 @@ def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: in
     return materialize(found if edges is None else edges.union(found), "links")
 
 
+def on_node(members: DataFrame, facts: DataFrame, label: str) -> DataFrame:
+    """members (node, rep, ...) with the facts of their nodes, one row a node: broadcast if counted to be few, else with salt."""
+    facts = materialize(facts, label)
+    if facts.count() <= 100_000:
+        return members.join(F.broadcast(facts), "node")
+    return members.withColumn("salt", salt_of("rep")).join(facts.select("*", all_salts("salt")), ["node", "salt"]).drop("salt")
+
+
 def families(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
     """For nodes (node, rep) that don't split: edges found with hubs, and groups (gid, rep, side) that compare the rest exactly.
 
@@ -282,10 +290,8 @@ def families(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     """
     first = large.groupBy("rep").agg(F.min("node").alias("b"))
     of_node = components(large.join(first, "rep").select(F.col("node").alias("a"), "b").distinct())
-    named = of_node.select(F.col("v").alias("node"), "c", all_salts("salt"))
-    members = large.withColumn("salt", salt_of("rep")).join(named, ["node", "salt"]).select(F.col("c").alias("node"), "rep").distinct()
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("m")).select("node", "m", all_salts("salt"))
-    members = materialize(members.withColumn("salt", salt_of("rep")).join(sizes, ["node", "salt"]).drop("salt"), "families")
+    members = materialize(on_node(large, of_node.select(F.col("v").alias("node"), "c"), "names").select(F.col("c").alias("node"), "rep").distinct(), "members")
+    members = materialize(on_node(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "sizes"), "families")
     chunks = F.ceil(F.col("m") / chunk)
     hubs = members.groupBy("node", F.pmod(F.xxhash64("rep", "node"), F.lit(HUBS)).alias("cell")).agg(F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("h"), F.max("m").alias("m"))
     hubs = hubs.select("node", F.col("h.rep").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).alias("side"))
@@ -296,8 +302,8 @@ def families(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     comps = components(edges)
     labelled = materialize(members.join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "labelled")
     by_comp = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
-    state = by_comp.groupBy("node").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("top.n").alias("top_n"), F.col("top.c").alias("top_c"), all_salts("salt"))
-    open_ = labelled.withColumn("salt", salt_of("rep")).join(state, ["node", "salt"])
+    state = by_comp.groupBy("node").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("top.n").alias("top_n"), F.col("top.c").alias("top_c"))
+    open_ = on_node(labelled, state, "states")
     few_chunks = F.ceil((F.col("m") - F.col("top_n")) / chunk)
     split = materialize(open_.withColumns({"few": few_chunks, "all": chunks, "i": F.pmod(F.xxhash64("rep", "node"), few_chunks), "j": F.pmod(F.xxhash64("rep"), chunks)}), "split")
     outside = split.where("c <> top_c").select("node", "rep", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
@@ -321,8 +327,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -
     edges = find_edges(docs, reps, k, percent, **options)
     # rows of one doc_id with different texts are one vertex
     comps = components(edges)
-    by_key = reps.join(comps, reps.rep == comps.v, "left").where("copies > 1 or c is not null").select("key", F.coalesce("c", "rep").alias("c"), all_salts("salt"))
-    found = sk.select("doc_id", "n", "key", salt_of("doc_id").alias("salt")).join(by_key, ["key", "salt"], "left")
+    by_key = materialize(reps.join(comps, reps.rep == comps.v, "left").where("copies > 1 or c is not null").select("key", F.coalesce("c", "rep").alias("c")), "classes")
+    if by_key.count() <= 300_000:  # short rows
+        found = sk.select("doc_id", "n", "key").join(F.broadcast(by_key), "key", "left")
+    else:
+        found = sk.select("doc_id", "n", "key", salt_of("doc_id").alias("salt")).join(by_key.select("*", all_salts("salt")), ["key", "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

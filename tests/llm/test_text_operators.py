@@ -146,6 +146,7 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(200, 200)]
     got = {r.v: r.c for r in components.components(make(spark, edges, "a long, b long")).collect()}
+    assert got == {r.v: r.c for r in components.components(make(spark, edges, "a long, b long"), small=0).collect()}
     assert got == {i: 0 for i in range(31)} | {100 + i: 100 for i in range(20)} | {200: 200}
 
 
