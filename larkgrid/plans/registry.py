@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkgrid.plans import frames, links, points, series
+from larkgrid.plans import frames, links, points, scenes, series
 
 FLAGSHIP = "telemetry_summary"
-MODULES = (series, points, links, frames)
+MODULES = (series, points, links, frames, scenes)
 
 
 def queries() -> dict:

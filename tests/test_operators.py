@@ -190,3 +190,53 @@ def test_images(spark):
     x = a.astype(float)
     assert abs(lap[1] - (x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var(ddof=1)) < 1e-9
     assert {tuple(r) for r in frames.letterbox(df, ["g"]).collect()} == {(1, 0, 12, 0, 16), (2, 2, 10, 1, 15)}
+
+
+def test_subject_point(spark):
+    rng = np.random.default_rng(3)
+    target = np.array([5.0, -3, 2])
+    rows = []
+    for k in range(40):
+        c = rng.uniform(-50, 50, 3)
+        d = (target - c) / np.linalg.norm(target - c) if k % 4 else rng.standard_normal(3)
+        rows.append((k % 2, *map(float, c), *map(float, d / np.linalg.norm(d))))
+    from larkgrid.operators import scenes
+
+    df = spark.createDataFrame([r for r in rows if rows.index(r) % 4], "g int, cx double, cy double, cz double, dx double, dy double, dz double")
+    got = scenes.subject_point(df, ["g"]).collect()
+    assert len(got) == 2 and all(np.allclose([r.x, r.y, r.z], target) and r.aimed == 1 for r in got)
+
+
+def test_two_view_tells_plane_from_depth(spark):
+    from larkgrid.operators import scenes
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for pair, flat in ((1, True), (2, False), (3, True)):
+        n = 10 if pair == 3 else 300
+        x = np.c_[rng.uniform(-2, 2, (n, 2)), np.full(n, 8.0) if flat else rng.uniform(4, 14, n)]
+        a, y = x[:, :2] / x[:, 2:] * 500, x + [0.8, 0.1, 0.05]
+        b = y[:, :2] / y[:, 2:] * 500
+        a, b = a + rng.normal(0, 0.2, a.shape), b + rng.normal(0, 0.2, b.shape)
+        rows += [(pair, *map(float, p), *map(float, q)) for p, q in zip(a, b)]
+    df = spark.createDataFrame(rows, "pair int, ax double, ay double, bx double, by_ double")
+    got = {r.pair: r for r in scenes.two_view(df, ["pair"]).collect()}
+    assert got[1].parallax is False and got[2].parallax is True and got[3].parallax is None and got[1].plane_px < 1 < got[2].plane_px
+
+
+def test_cross_validation_prefers_the_better_map(spark):
+    from larkgrid.operators import scenes
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(1, 10, 400)
+    rows = [(g, i, float(v), float(3 + 2 * v if g == 0 else 1 + 8 * (v > 5)) + float(rng.normal(0, 0.05))) for g in (0, 1) for i, v in enumerate(x)]
+    got = {r.g: r for r in scenes.cross_validate(spark.createDataFrame(rows, "g int, k long, x double, y double"), ["g"], "x", "y", "k").collect()}
+    assert got[0].line_error < 0.02 and got[1].monotone_error < 0.05 < got[1].line_error
+
+
+def test_terrain_takes_roofs_away(spark):
+    from larkgrid.operators import scenes
+
+    rows = [(x + 0.5, y + 0.5, 0.1 * x + (5.0 if 8 <= x < 11 and 8 <= y < 11 else 0.0)) for x in range(24) for y in range(24)]
+    got = {(r.row, r.col): r.ground for r in scenes.terrain(spark.createDataFrame(rows, "x double, y double, z double"), 1.0).collect()}
+    assert len(got) == 576 and all(abs(z - 0.1 * c) < 0.5 for (_, c), z in got.items())
