@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 # Canonical fields and the normalised headers that stand for them.
 ALIASES = {
-    "t": "t time timestamp time_s seconds elapsed elapsed_s datetime date_time utc gps_time offset",
-    "lat": "lat latitude gps_lat gps_latitude",
-    "lon": "lon lng long longitude gps_lon gps_lng gps_longitude",
-    "alt_m": "alt_m alt altitude altitude_m absolute_altitude abs_alt elevation ele height gps_alt gps_altitude",
-    "rel_alt_m": "rel_alt_m rel_alt relative_altitude height_above_takeoff",
-    "heading_deg": "heading_deg heading compass compass_heading course",
-    "pitch_deg": "pitch_deg pitch gimbal_pitch",
-    "roll_deg": "roll_deg roll gimbal_roll",
-    "yaw_deg": "yaw_deg yaw gimbal_yaw",
-    "speed_ms": "speed_ms speed velocity ground_speed speed_m_s",
+    "t": "t time timestamp time_s elapsed elapsed_s seconds offset_s",
+    "lat": "lat latitude gps_lat gps_latitude lat_deg latitude_deg",
+    "lon": "lon lng long longitude gps_lon gps_longitude lon_deg longitude_deg",
+    "alt_m": "alt altitude altitude_m alt_m abs_alt absolute_altitude elevation ele gps_alt",
+    "rel_alt_m": "rel_alt rel_alt_m relative_altitude relative_altitude_m altitude_agl agl",
+    "heading_deg": "heading heading_deg compass_heading course",
+    "pitch_deg": "pitch pitch_deg",
+    "roll_deg": "roll roll_deg",
+    "yaw_deg": "yaw yaw_deg",
+    "speed_ms": "speed speed_ms ground_speed ground_speed_ms velocity",
 }
 FIELDS = tuple(ALIASES)
 #: Texts that stand for no value.
