@@ -190,7 +190,7 @@ def shared_counts(sets: list[np.ndarray], which: np.ndarray) -> Iterator[tuple[i
 def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect, within each part, what links on full sets connect."""
     kind = dict(parts.dtypes)["rep"]
-    parts = materialize(parts, "parts")
+    parts = materialize(parts, "parts", narrow=True)
     needed = materialize(reps.join(parts.select("rep").distinct(), "rep").select("rep", "key", "sig", "n"), "needed")
     # whole texts stay where they are: a bit filter, 16 bits a set up to 32 MB, picks those whose sets are needed
     bits = 1 << min(28, max(16, (16 * needed.count()).bit_length()))
@@ -253,9 +253,9 @@ def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: in
     over 0.999 at these settings)."""
     nodes, groups, large = branch(reps, trees, branches), [], None
     for level in range(levels):
-        nodes = materialize(nodes, "nodes")
+        nodes = materialize(nodes, "nodes", narrow=True)
         # narrow rows; where a node holds a large share of them, adaptive execution splits the join
-        nodes = materialize(nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "node"), "nodes")
+        nodes = materialize(nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "node"), "nodes", narrow=True)
         groups.append(nodes.where(F.col("m") <= leaf).select(F.col("node").alias("gid"), "rep", F.lit(0).alias("side")))
         large = nodes.where(F.col("m") > leaf).select("node", "rep")
         if large.isEmpty():
@@ -271,12 +271,12 @@ def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: in
     for g in groups[1:]:
         together = together.unionByName(g)
     found = verify(candidates(together, reps, percent), docs, reps, k, percent)
-    return materialize(found if edges is None else edges.union(found), "links")
+    return materialize(found if edges is None else edges.union(found), "links", narrow=True)
 
 
 def on_node(members: DataFrame, facts: DataFrame, label: str) -> DataFrame:
     """members (node, rep, ...) with the facts of their nodes, one row a node: broadcast if counted to be few, else with salt."""
-    facts = materialize(facts, label)
+    facts = materialize(facts, label, narrow=True)
     if facts.count() <= 100_000:
         return members.join(F.broadcast(facts), "node")
     return members.withColumn("salt", salt_of("rep")).join(facts.select("*", all_salts("salt")), ["node", "salt"]).drop("salt")
@@ -290,22 +290,22 @@ def families(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     """
     first = large.groupBy("rep").agg(F.min("node").alias("b"))
     of_node = components(large.join(first, "rep").select(F.col("node").alias("a"), "b").distinct())
-    members = materialize(on_node(large, of_node.select(F.col("v").alias("node"), "c"), "names").select(F.col("c").alias("node"), "rep").distinct(), "members")
-    members = materialize(on_node(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "sizes"), "families")
+    members = materialize(on_node(large, of_node.select(F.col("v").alias("node"), "c"), "names").select(F.col("c").alias("node"), "rep").distinct(), "members", narrow=True)
+    members = materialize(on_node(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "sizes"), "families", narrow=True)
     chunks = F.ceil(F.col("m") / chunk)
     hubs = members.groupBy("node", F.pmod(F.xxhash64("rep", "node"), F.lit(HUBS)).alias("cell")).agg(F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("h"), F.max("m").alias("m"))
     hubs = hubs.select("node", F.col("h.rep").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).alias("side"))
     rest = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select("node", "rep", "chunk", F.lit(1).alias("side"))
     around = hubs.unionByName(rest).groupBy(F.xxhash64("node", "chunk").alias("gid"), "rep").agg(F.min("side").alias("side"))
-    edges = materialize(verify(candidates(around, reps, percent), docs, reps, k, percent), "links")
+    edges = materialize(verify(candidates(around, reps, percent), docs, reps, k, percent), "links", narrow=True)
     # what is not within one component yet: the documents outside a family's largest component against all of it
     comps = components(edges)
-    labelled = materialize(members.join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "labelled")
+    labelled = materialize(members.join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "labelled", narrow=True)
     by_comp = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
     state = by_comp.groupBy("node").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("top.n").alias("top_n"), F.col("top.c").alias("top_c"))
     open_ = on_node(labelled, state, "states")
     few_chunks = F.ceil((F.col("m") - F.col("top_n")) / chunk)
-    split = materialize(open_.withColumns({"few": few_chunks, "all": chunks, "i": F.pmod(F.xxhash64("rep", "node"), few_chunks), "j": F.pmod(F.xxhash64("rep"), chunks)}), "split")
+    split = materialize(open_.withColumns({"few": few_chunks, "all": chunks, "i": F.pmod(F.xxhash64("rep", "node"), few_chunks), "j": F.pmod(F.xxhash64("rep"), chunks)}), "split", narrow=True)
     outside = split.where("c <> top_c").select("node", "rep", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
     every = split.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), "j", F.lit(1).alias("side"))
     return edges, outside.unionByName(every).groupBy(F.xxhash64("node", "i", "j").alias("gid"), "rep").agg(F.min("side").alias("side"))
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -
     edges = find_edges(docs, reps, k, percent, **options)
     # rows of one doc_id with different texts are one vertex
     comps = components(edges)
-    by_key = materialize(reps.join(comps, reps.rep == comps.v, "left").where("copies > 1 or c is not null").select("key", F.coalesce("c", "rep").alias("c")), "classes")
+    by_key = materialize(reps.join(comps, reps.rep == comps.v, "left").where("copies > 1 or c is not null").select("key", F.coalesce("c", "rep").alias("c")), "classes", narrow=True)
     if by_key.count() <= 300_000:  # short rows
         found = sk.select("doc_id", "n", "key").join(F.broadcast(by_key), "key", "left")
     else:
