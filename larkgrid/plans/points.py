@@ -25,8 +25,8 @@ def voxel_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 VOXEL_COVERAGE = f"""
 WITH {CLOUD}, c AS (SELECT flag, {_CELL.format('2.5')} FROM cloud)
-SELECT flag, count(DISTINCT (cx, cy, cz)) AS voxels, count(*) AS n, round(count(DISTINCT (cx, cy, cz)) * 15.625, 4) AS volume_m3,
-  round(count(*) / (count(DISTINCT (cx, cy, cz)) * 15.625), 3) AS points_per_m3 FROM c GROUP BY flag
+SELECT flag, count(DISTINCT (cx, cy, cz)) AS voxels, count(*) AS n, round(count(DISTINCT (cx, cy, cz)) * 15.625::DOUBLE, 4) AS volume_m3,
+  round(count(*) / (count(DISTINCT (cx, cy, cz)) * 15.625::DOUBLE), 3) AS points_per_m3 FROM c GROUP BY flag
 """
 
 

@@ -117,10 +117,10 @@ ORDER BY -ln((('0x' || substr(md5('a|' || p_partkey), 1, 12))::BIGINT::DOUBLE +
 
 def tie_raster(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d).withColumns({"u": F.floor("x").cast("int"), "v": F.floor("y").cast("int")})
-    return scenes.last_write(c, ["solid", "u", "v"], "pid", ["colour", "pid"])
+    return scenes.last_write(c, ["solid", "u", "v"], "pid", ["pid"])
 
 
-TIE_RASTER = f"WITH {CLOUD} SELECT solid, floor(x)::INT AS u, floor(y)::INT AS v, arg_max(colour, pid) AS colour, max(pid) AS pid FROM cloud GROUP BY ALL"
+TIE_RASTER = f"WITH {CLOUD} SELECT solid, floor(x)::INT AS u, floor(y)::INT AS v, max(pid) AS pid FROM cloud GROUP BY ALL"
 
 
 def bilinear_samples(spark: SparkSession, d: str) -> DataFrame:
