@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from larkgrid.llm.common import all_salts, bounded_batches, drop_ids, materialize, row_groups, salt_of, text_buffers
 from larkgrid.llm.tokens import LOWER, mix64
 
-BINS, FIT_ROWS, TEMPER, KAPPA, ACCEPT, UNKNOWN = 1 << 16, 20_000, 60, 20.0, 0.5, "und"
+BINS, TEMPER, KAPPA, ACCEPT, UNKNOWN = 1 << 16, 60, 20.0, 0.5, "und"
 #: Log prior odds of the background class.
 BACKGROUND = -5.0
 
@@ -51,27 +51,36 @@ class Model:
         self.languages, self.log_p = languages, log_p  # log_p: float32 [languages, BINS]
 
 
-def fit(docs: DataFrame, text: str = "text", language: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
-    """From at most about fit_rows labelled rows, chosen by a hash of the text. Counting is distributed; the driver gets one row
-    per language and bin."""
+def fit(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
+    """From all labelled rows, equal texts of a language counting once. Counting is distributed; the driver gets one row per
+    language and bin."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(language).alias("language"), F.col(text).alias("text")).where("language is not null and text is not null")
-    total = rows.count()
-    if total > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
+    rows = rows.select("language", "text", F.xxhash64("language", "text").alias("h"))
+
+    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a hash per distinct row of the task
+        for batch in batches:
+            new = [i for i, h in enumerate(batch.column(2).to_pylist()) if not (h in seen or seen.add(h))]
+            if new:
+                yield batch if len(new) == batch.num_rows else batch.take(pa.array(new))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            names = batch.column(0).to_pylist()
+        for batch in first_of_each(batches):
+            names = np.array(batch.column(0).to_pylist(), object)
             data, offsets = text_buffers(batch.column(1))
-            bins, before = trigrams(data, offsets)
-            for name in set(names):
-                mine = np.concatenate([bins[before[i] : before[i + 1]] for i, x in enumerate(names) if x == name])
-                sums[name] = sums.get(name, 0) + np.bincount(mine, minlength=BINS)
+            for i, j in row_groups(offsets):
+                bins, before = trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                of = np.repeat(names[i:j], np.diff(before))
+                for name in set(names[i:j]):
+                    sums[name] = sums.get(name, 0) + np.bincount(bins[of == name], minlength=BINS)
         for name, v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(v[at])], ["language", "bin", "n"])
 
+    # copies within a task go before the exchange, so a text in a third of all rows crosses it once a task
+    rows = rows.mapInArrow(first_of_each, rows.schema).repartition("h")
     counts = rows.mapInArrow(count, "language string, bin long, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["language"].unique())
     table = np.full((len(languages), BINS), 0.5)
