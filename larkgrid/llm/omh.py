@@ -18,9 +18,19 @@ from pyspark.sql import functions as F
 
 from larkgrid.llm.tokens import U64, mix64, seeds
 
-K, SKETCHES, TUPLE, SEED = 8, 32, 2, 5
+K, SKETCHES, TUPLE, SEED = 8, 128, 2, 5
 #: k-mers that one step of all sketches works on, so that memory is bounded for long texts.
-STEP = 1 << 12
+STEP = 1 << 10
+
+_room = np.empty(0, U64)
+
+
+def _scratch(rows: int, columns: int) -> np.ndarray:
+    """One array for all steps of a process, as a new one for each would cost more than what is written to it."""
+    global _room
+    if len(_room) < rows * columns:
+        _room = np.empty(rows * columns, U64)
+    return _room[: rows * columns].reshape(rows, columns)
 
 
 def order_minhash(text: bytes, sketches: int = SKETCHES, tuple_size: int = TUPLE, seed: int = SEED) -> np.ndarray:
@@ -50,14 +60,15 @@ def order_minhash(text: bytes, sketches: int = SKETCHES, tuple_size: int = TUPLE
         best = np.empty((sketches, 0), U64)
         rows = np.arange(sketches)
         for i in range(0, n, STEP):
-            part = h[None, i : i + STEP] * mult[:, None]
+            part = _scratch(sketches, min(STEP, n - i))
+            np.multiply(h[None, i : i + STEP], mult[:, None], out=part)
             part += add[:, None]
             part &= ~low
-            part |= at[None, i : i + STEP]
             found = []
             for _ in range(min(ell, part.shape[1])):
-                found.append(least := part.min(axis=1))
-                part[rows, (least & low).astype(np.int64) - i] = U64(0xFFFFFFFFFFFFFFFF)
+                first = part.argmin(axis=1)  # of equal ones the first in the text
+                found.append(part[rows, first] | at[i + first])
+                part[rows, first] = U64(0xFFFFFFFFFFFFFFFF)
             best = np.concatenate([best, np.stack(found, axis=1)], axis=1)
         if best.shape[1] > ell:
             best.partition(ell - 1, axis=1)

@@ -1,12 +1,13 @@
 """Findings of a review: operators that did less than the whole job."""
 
 import collections
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkgrid.llm import langid
+from larkgrid.llm import langid, omh
 
 
 def make(spark, rows, schema="doc_id long, text string"):
@@ -32,3 +33,14 @@ def test_language_model_counts_every_labelled_text(spark):
     assert model.languages == ["en", "ru"]
     for language, got in zip(model.languages, model.log_p):
         assert np.allclose(got, expect[language], atol=1e-5)
+
+
+def test_half_edited_texts_are_always_near():
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(2000)]
+    for _ in range(120):
+        text, other = (" ".join(rng.choices(vocab, k=150)).encode() for _ in range(2))
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        own, near, far = (omh.order_minhash(x) for x in (text, edited, other))
+        assert omh.likeness(own, near) > omh.likeness(own, far)
