@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkgrid.llm import langid, omh
+from larkgrid.llm import decontaminate, langid, omh
 
 
 def make(spark, rows, schema="doc_id long, text string"):
@@ -44,3 +44,27 @@ def test_half_edited_texts_are_always_near():
         edited = text[: len(text) - half] + other[:half]
         own, near, far = (omh.order_minhash(x) for x in (text, edited, other))
         assert omh.likeness(own, near) > omh.likeness(own, far)
+
+
+def test_short_benchmark_items_are_found(spark):
+    rng = random.Random(12)
+    fill = lambda: [f"f{rng.randrange(500)}" for _ in range(40)]
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 15)}
+    docs, expect = [], set()
+    for n, words in items.items():
+        most = n // 4 if n >= 6 else 0  # 3 of 4 words must agree, of fewer than 6 all
+        for off in range(most + 2):
+            for turn in range(6):
+                text = words[:]
+                for p in rng.sample(range(n), min(off, n)):
+                    text[p] = "other"
+                doc_id = n * 1000 + off * 10 + turn
+                a = fill()
+                docs.append((doc_id, " ".join(a[:20] + text + a[20:])))
+                if off <= most:
+                    expect.add((doc_id, n))
+    docs.append((1, " ".join(["i1w0"] * 50)))
+    expect.add((1, 1))
+    bench = make(spark, [(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(spark, docs), bench).collect()]
+    assert set(found) == expect and len(found) == len(expect)
