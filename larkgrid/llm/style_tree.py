@@ -25,12 +25,16 @@ from larkgrid.llm.common import all_salts, materialize, salt_of
 
 #: A branch is removed if its importance is below LEAST on at least PAGES different pages; nodes deeper than DEPTH count as part of the node there.
 LEAST, PAGES, GAMMA, DEPTH = 0.2, 4, 0.9, 24
+#: What rules of classes and roles call boilerplate is so up to MINOR of a page's text; an article or main is taken from TAKEN of it.
+MINOR, TAKEN = 0.75, 0.2
 
 # Element names and class words by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noframes iframe noembed".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr output q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr button select".split())
 DROPPED = set("head script style noscript template iframe object embed svg canvas audio video form button select textarea input nav aside footer dialog menu noframes xmp noembed title".split())
+#: Of these, what may stand around an article: a form always, the others if no article or main stands outside them.
+WRAPPERS = set("aside nav footer dialog menu button".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
@@ -46,17 +50,19 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "path", "depth", "hard", "soft", "holds_main", "main", "children")
+    __slots__ = ("tag", "path", "depth", "hard", "soft", "holds_main", "main", "children", "unseen")
 
     def __init__(self, tag: str, path: str, depth: int, hard: bool, soft: bool, main: int):
         self.tag, self.path, self.depth, self.hard, self.soft, self.main = tag, path, depth, hard, soft, main
-        self.holds_main, self.children = False, []
+        self.holds_main, self.children, self.unseen = False, [], hard and tag not in WRAPPERS
 
 
 def boilerplate(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool, bool]:
     """(dropped whatever it holds, dropped unless it holds the article)."""
-    if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True, False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return True, True
+    if tag in DROPPED:
+        return tag != "form", tag == "form"
     if tag == "header" and not in_main:
         return False, True
     if tag in ("html", "body", "article", "main") and not attributes.get("class"):
@@ -135,6 +141,7 @@ def parse(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
                 flush()
             continue
         hard, soft = boilerplate(tag, attributes, top.main > 0)
+        hidden = hard and soft  # whatever the tag
         main = 2 if tag == "article" else max(top.main, 1) if tag == "main" or attributes.get("role") == "main" else top.main
         if tag in INLINE and not (hard or soft):
             e = Element(tag, top.path, top.depth, False, False, main)
@@ -148,6 +155,8 @@ def parse(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
                 made.append(e)
             else:
                 e = Element(tag, top.path, top.depth, hard, soft, main)
+        if hidden:
+            e.unseen = True
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end()
@@ -161,12 +170,23 @@ def parse(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
 
 
 def main_text(page: str, noise: set[str] = frozenset()) -> str:
-    """The text of the page's article; where there is none, of its main element, or of all of it, without boilerplate and without the branches in noise."""
+    """The text of the page's article; where there is none, of its main element, or of all of it, without boilerplate and without the branches in noise.
+
+    Boilerplate rules never leave a page with visible text empty, and don't reach elements with most of the page's text. An
+    article or main of a small share of the text is part of the page like any other.
+    """
     blocks, _ = parse(page)
-    kept = [(chain, text) for chain, text in blocks if not any(e.hard or (e.soft and not e.holds_main) for e in chain)]
+    seen = [(chain, text) for chain, text in blocks if not any(e.unseen for e in chain)]
+    outside = [(chain, text) for chain, text in seen if not any(e.hard for e in chain)]
+    around = [(chain, text) for chain, text in seen if not any(e.hard and not e.holds_main for e in chain)]
+    kept = by_rules(outside)
+    if len(around) > len(outside) and not any(chain[-1].main for chain, _ in kept):
+        kept = by_rules(around)
+    kept = kept or outside or around or seen
+    size = sum(len(text) for _, text in kept)
     for level in (2, 1):
         inside = [(chain, text) for chain, text in kept if chain[-1].main >= level]
-        if inside:
+        if sum(len(text) for _, text in inside) > TAKEN * size:
             kept = inside
             break
     if noise:
@@ -175,6 +195,18 @@ def main_text(page: str, noise: set[str] = frozenset()) -> str:
     return " ".join(text for _, text in kept)
 
 
+def by_rules(blocks: list[tuple[list[Element], str]]) -> list[tuple[list[Element], str]]:
+    """The blocks that aren't below an element that rules drop unless it holds the article, or most of the text."""
+    sizes: dict[int, int] = {}
+    for chain, text in blocks:
+        for e in chain:
+            if e.soft and not e.holds_main:
+                sizes[id(e)] = sizes.get(id(e), 0) + len(text)
+    most = MINOR * sum(len(text) for _, text in blocks)
+    has_main = any(chain[-1].main for chain, _ in blocks)
+    return [(chain, text) for chain, text in blocks if not any(id(e) in sizes and (has_main or sizes[id(e)] <= most) for e in chain)]
+
+
 def page_features(page: str) -> list[tuple[str, int, int]]:
     """(path, kind, hash) of each path of a page: kind 0 is the children's styles, runs of one style counting once, 1 the text."""
     blocks, made = parse(page)

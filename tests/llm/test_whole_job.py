@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkgrid.llm import decontaminate, langid, omh
+from larkgrid.llm import decontaminate, langid, omh, style_tree
 
 
 def make(spark, rows, schema="doc_id long, text string"):
@@ -68,3 +68,27 @@ def test_short_benchmark_items_are_found(spark):
     bench = make(spark, [(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     found = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(spark, docs), bench).collect()]
     assert set(found) == expect and len(found) == len(expect)
+
+
+LONG = "the long story of a page " * 20
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><form><div>menu</div><article><p>story</p></article></form></body>", "story"),
+        (f"<body><form><p>{LONG}</p></form></body>", LONG.strip()),
+        ("<nav><ul><li>link</li></ul><article><p>story</p></article>", "story"),
+        ("<aside><p>link</p><main><p>story</p></main>", "story"),
+        ("<main><p>story</p></main><aside><article>teaser</article></aside>", "story"),
+        ("<div hidden><article>unseen</article></div><p>seen</p>", "seen"),
+        ("<nav hidden><article>unseen</article></nav>", ""),
+        (f"<div class='content with-sidebar'><p>{LONG}</p><div class='sidebar'>links</div></div>", LONG.strip()),
+        (f"<body><div class='no-comments has-banner social'><p>{LONG}</p></div></body>", LONG.strip()),
+        ("<div class='ad'>buy</div>", "buy"),
+        (f"<div><p>{LONG}</p></div><article>teaser</article>", LONG.strip() + " teaser"),
+        (f"<main><article><div class='comments'>{LONG}</div><p>story</p></article></main>", "story"),
+    ],
+)
+def test_rules_do_not_lose_the_main_text(page, text):
+    assert style_tree.main_text(page) == text
