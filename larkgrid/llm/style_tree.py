@@ -4,7 +4,8 @@ The pages of a host are merged into one tree of styles: a node is a path of bloc
 the tree knows how often it has which sequence of children (presentation) and which text (content). The importance of a node is
 the normalised entropy of these: what looks and reads alike on every page of a site is worth nothing. A branch's importance is
 the mean over its nodes, weighted down with depth. Branches in which no part has more than a low importance are removed from
-each page, besides what tags, classes and roles call boilerplate; of the rest the article is taken where the page marks one.
+each page, inside its article too, besides what tags, classes and roles call boilerplate; where the page marks an article, no
+more than that is taken.
 
 The tree is never in one place: pages give counted (host, path, feature) rows, entropies are sums over them, and a branch's mean
 is an aggregate over the prefixes of paths.
@@ -38,7 +39,6 @@ WRAPPERS = set("aside nav footer dialog menu button".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th figure figcaption article main html body".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CLASS_WORDS = set("ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar sidenav aside footer masthead cookie cookies consent gdpr notice notices notification disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies respond pagination pager toolbar skiplink".split())
 HEADER_WORDS = {"header", "topbar"}
@@ -190,7 +190,7 @@ def main_text(page: str, noise: set[str] = frozenset()) -> str:
             kept = inside
             break
     if noise:
-        plain = [(chain, text) for chain, text in kept if not any(e.path in noise and not (e.tag in TEXT_TAGS and e.main) and not e.holds_main for e in chain)]
+        plain = [(chain, text) for chain, text in kept if not any(e.path in noise and not e.holds_main for e in chain)]
         kept = plain or kept  # where all of a page repeats, it is not boilerplate
     return " ".join(text for _, text in kept)
 

@@ -92,3 +92,11 @@ LONG = "the long story of a page " * 20
 )
 def test_rules_do_not_lose_the_main_text(page, text):
     assert style_tree.main_text(page) == text
+
+
+def test_style_tree_acts_inside_the_article(spark):
+    page = "<html><body><article><h1>title {0}</h1><p>story {0} is told here</p><ul><li>Subscribe to our letter</li><li>All rights kept</li></ul></article></body></html>"
+    rows = [(i, f"http://site.example/{i}", page.format(i)) for i in range(12)] + [(20, "http://other.example/", page.format(20))]
+    got = {r.page_id: r.text for r in style_tree.extract(make(spark, rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"title {i} story {i} is told here" for i in range(12))
+    assert got[20].endswith("Subscribe to our letter All rights kept")  # one page tells nothing of its site
