@@ -52,16 +52,15 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.captures(table(spark, sf_dir, "pages"), payloads=False)
-    notes = F.element_at("metadata", 1)["fields"]
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
     is_revisit = F.col("response.warc_type") == "revisit"
     stated = F.lower(F.regexp_extract("response.payload_digest", "^sha1:(.*)$", 1))
     return found.select(
-        notes["page-id"].cast("long").alias("page_id"),
-        F.when(is_revisit, notes["payload-bytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
-        F.when(is_revisit, stated).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
+        F.element_at("metadata", 1)["fields"]["page-id"].cast("long").alias("page_id"),
+        F.when(is_revisit, F.col("original.payload_bytes")).otherwise(F.octet_length("response.payload").cast("long")).alias("payload_bytes"),
+        F.when(is_revisit, stated).otherwise(F.sha1("response.payload")).alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),
-        F.when(is_revisit, notes["refers-to-page-id"].cast("long")).alias("refers_to"),
+        F.col("original.page_id").cast("long").alias("refers_to"),
     )
 
 

@@ -185,3 +185,16 @@ def captures(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, recor
     write_archives(pages, path, min_revisit_bytes, records_per_file)
     records = read_archives(pages.sparkSession, path).drop("headers", *([] if payloads else ["payload", "http_headers"]))
     return assemble(materialize(records, "warc-records"))
+
+
+def resolve_revisits(found: DataFrame) -> DataFrame:
+    """captures with `original`: (capture_id, page_id, payload_bytes, payload_sha1) of the response that a revisit's
+    WARC-Refers-To names, null for all others and where no such response is found."""
+    page_id = F.get("metadata", F.lit(0))["fields"]["page-id"]
+    of = F.struct("capture_id", page_id.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_sha1"))
+    wanted = found.where(F.col("response.warc_type") == "revisit").select(F.col("response.refers_to").alias("capture_id")).distinct()
+    originals = found.where(F.col("response.warc_type") == "response").select("capture_id", of.alias("original")).join(wanted, "capture_id", "left_semi")
+    originals = materialize(originals.select("original", all_salts("__salt")), "originals")
+    on = (F.col("__refers") == F.col("original.capture_id")) & (F.col("__at") == F.col("__salt"))
+    refers = F.when(F.col("response.warc_type") == "revisit", F.col("response.refers_to"))
+    return found.withColumns({"__refers": refers, "__at": salt_of("capture_id")}).join(broadcast_if_small(originals), on, "left").drop("__refers", "__at", "__salt")

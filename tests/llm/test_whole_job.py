@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkgrid.llm import decontaminate, langid, omh, style_tree
+from larkgrid.llm import decontaminate, langid, omh, queries, style_tree, warc
 
 
 def make(spark, rows, schema="doc_id long, text string"):
@@ -100,3 +100,18 @@ def test_style_tree_acts_inside_the_article(spark):
     got = {r.page_id: r.text for r in style_tree.extract(make(spark, rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"title {i} story {i} is told here" for i in range(12))
     assert got[20].endswith("Subscribe to our letter All rights kept")  # one page tells nothing of its site
+
+
+def test_revisits_are_resolved_through_refers_to(spark, tmp_path, monkeypatch):
+    big = "é" * 600
+    make(spark, [(1, "http://a.example", big), (7, "http://b.example", big), (3, "http://c.example", "short")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    whole, seen = warc.assemble, []
+
+    def without_notes(records):  # archives of other writers have none
+        seen.extend(records.columns)
+        return whole(records.withColumn("fields", F.map_filter("fields", lambda k, v: k == "page-id")))
+
+    monkeypatch.setattr(warc, "assemble", without_notes)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in queries.op8_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: (1200, "revisit", 7), 7: (1200, "response", None), 3: (5, "response", None)}
+    assert "payload" in seen and "http_headers" in seen
