@@ -67,6 +67,11 @@ def all_salts(name: str, salts: int = SALTS) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(name)
 
 
+def shared_array(spark: SparkSession, values: np.ndarray):
+    """A broadcast of a small array of numbers or strings."""
+    return spark.sparkContext.broadcast(values)
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (one more than rows) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

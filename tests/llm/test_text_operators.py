@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkgrid.llm import chosen_path, components, decontaminate, line_dedup, omh
 from larkgrid.llm.tokens import shingles, words
@@ -190,13 +191,13 @@ def brute_omh(text: bytes, m, ell, seed):
     for i in range(n):
         x = mix(int.from_bytes(data[i : i + omh.K], "little"))
         nth = seen[x & ~low] = seen.get(x & ~low, -1) + 1
-        h.append(mix(x + nth * 0x9E3779B97F4A7C15) if nth else x)
+        h.append((mix(x + nth * 0x9E3779B97F4A7C15) if nth else x) >> 32)
     out = []
-    for add, mult in zip(seeds(m, seed).tolist(), (seeds(m, seed + 1) | U64(1)).tolist()):
-        best = sorted(sorted(((x * mult + add) % 2**64 & ~low | i) for i, x in enumerate(h))[: min(ell, n)], key=lambda v: v & low)
+    for mult in ((seeds(m, seed + 1) >> U64(32)).astype(np.uint32) | np.uint32(1)).tolist():
+        best = sorted(i for _, i in sorted((x * mult % 2**32, i) for i, x in enumerate(h))[: min(ell, n)])
         acc = 0
-        for j, v in enumerate(best):
-            acc = mix(acc * 0x100000001B3 + h[v & low] + j + 1)
+        for j, i in enumerate(best):
+            acc = mix(acc * 0x100000001B3 + h[i] + j + 1)
         out.append(acc >> 32)
     return out
 
@@ -207,6 +208,11 @@ def test_order_minhash_matches_brute_force():
         with np.errstate(over="ignore"):
             expect = brute_omh(text, 8, 3, 2)
         assert omh.order_minhash(text, 8, 3, 2).tolist() == expect
+        for keep in (0, 5, len(text) // 2, len(text)):  # a shared beginning is selected from once
+            orders = omh.Orders(8, 3, 2)
+            own, head, n = orders.of(text, keep)
+            edited = text[:keep] + b"quite another end"
+            assert own.tolist() == expect and orders.after(edited, head, n).tolist() == omh.order_minhash(edited, 8, 3, 2).tolist()
 
 
 def test_order_minhash_feels_order():
@@ -223,7 +229,9 @@ def test_edited_neighbours_match_brute_force(spark):
     rng = random.Random(8)
     rows = [(i * 3, "".join(rng.choices("abc äé\n", k=rng.randint(0, 400)))) for i in range(70)]
     rows += [(300, None), (301, ""), (9, "repeated id"), (None, "no id"), (None, "another"), (302, "x" * 200_000)]
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    rows += [(i, f"{w} {k}") for k in range(60) for i, w in ((150, "hot id"), (None, "without id"))]
+    h = {r.text: r.h for r in make(spark, rows).select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64(F.col("text").cast("binary")).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1] or ""]))
     expect = []
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         t, nxt = t or "", nxt or ""
@@ -231,6 +239,15 @@ def test_edited_neighbours_match_brute_force(spark):
         e = t[: len(t) - half] + nxt[:half]
         a, b, c = (omh.order_minhash(x.encode()) for x in (t, e, nxt))
         expect.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), omh.to_hex(a), omh.to_hex(b), omh.likeness(a, b), omh.likeness(a, c)))
-    for per in (5, 2000):
-        got = [tuple(r) for r in omh.edited_neighbours(make(spark, rows), rows_per_bucket=per).collect()]
+    for size in (1000, 1 << 25):
+        got = [tuple(r) for r in omh.edited_neighbours(make(spark, rows), range_bytes=size).collect()]
         assert sorted(got, key=str) == sorted(expect, key=str)
+
+
+def test_hot_ids_and_rows_without_ids_are_cut_into_ranges(spark):
+    rows = [(i, f"{w} {k} " + "x" * 100) for k in range(400) for i, w in ((150, "hot"), (None, "none"), (k, "own"))]
+    docs = make(spark, rows).withColumn("text", F.col("text").cast("binary")).withColumn("h", F.xxhash64("text"))
+    dealt, buckets = omh.ranges(docs, 4000)
+    found = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("hi"), F.min("doc_id").alias("lo")).orderBy("bucket").collect()
+    assert max(r.n for r in found) < 120 and found[-1].bucket < buckets and len(found) > 25
+    assert all(a.lo >= b.hi for a, b in zip(found, found[1:]) if a.lo is not None and b.hi is not None)
