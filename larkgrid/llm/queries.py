@@ -56,11 +56,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_revisit = F.col("response.warc_type") == "revisit"
     stated = F.lower(F.regexp_extract("response.payload_digest", "^sha1:(.*)$", 1))
     return found.select(
-        F.element_at("metadata", 1)["fields"]["page-id"].cast("long").alias("page_id"),
+        F.get("metadata", F.lit(0))["fields"]["page-id"].try_cast("long").alias("page_id"),
         F.when(is_revisit, F.col("original.payload_bytes")).otherwise(F.octet_length("response.payload").cast("long")).alias("payload_bytes"),
         F.when(is_revisit, stated).otherwise(F.sha1("response.payload")).alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),
-        F.col("original.page_id").cast("long").alias("refers_to"),
+        F.col("original.page_id").try_cast("long").alias("refers_to"),
     )
 
 
@@ -152,11 +152,13 @@ FROM n LEFT JOIN comp ON v = doc_id
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
-w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
-FROM w
+w AS (
+  SELECT *, max(page_id) OVER o AS first, row_number() OVER (o ORDER BY page_id DESC NULLS LAST) AS nth FROM d
+  WINDOW o AS (PARTITION BY payload_digest, payload_bytes)),
+j AS (SELECT *, payload_bytes >= 1000 AND nth > 1 AND first IS NOT NULL AS again FROM w)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM j
 """
 
 

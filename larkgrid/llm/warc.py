@@ -3,22 +3,26 @@
 A capture is a request, a response (or a revisit of an identical payload) and a metadata record, tied together by
 WARC-Concurrent-To. The writer makes each record a string and lets Spark's text writer put the record separator, two CRLF,
 between them, so archives go to any store that Spark writes to and are committed task by task. The reader parses archives by
-Content-Length. The assembler joins records through concurrent-to identifiers, one nested row per capture.
+Content-Length while it decompresses them, so it holds one record at a time beside the compressed file. The assembler joins
+records through concurrent-to identifiers, one nested row per capture.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, bounded_batches, broadcast_if_small, materialize, new_path, salt_of
+from larkgrid.llm.common import all_salts, bounded_batches, broadcast_if_small, delete_path, materialize, new_path, salt_of
 
-MIN_REVISIT_BYTES, RECORDS_PER_FILE = 1000, 6000
+MIN_REVISIT_BYTES = 1000
+#: Archives are rolled by size: (payload bytes below which a page belongs to the class, records of a file), so that none has
+#: much over half a gigabyte before compression, but for payloads that are larger by themselves.
+CLASSES = ((1 << 16, 6000), (1 << 20, 600), (None, 30))
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "warc_type string, record_id string, concurrent_to array<string>, target_uri string, warc_date string, refers_to string, payload_digest string, payload_sha1 string, headers map<string,string>, http_status int, http_headers string, payload binary, payload_bytes long, fields map<string,string>"
@@ -42,12 +46,14 @@ def _record(kind: str, record_id: Column, uri: Column, content_type: str, block:
     return F.concat(head, F.lit("\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, classes: tuple = CLASSES, compression: str = "gzip") -> None:
     """Archives of pages (page_id, url, html) under path: per row a request, a response or revisit, and a metadata record.
 
     Of rows with equal payloads (html in UTF-8; null is empty) of at least min_revisit_bytes, the one with the largest page_id
     is the response; rows that repeat that page_id are told apart by an occurrence number and only the first is referred to,
-    the other being a revisit. A group that has no page_id at all has no revisits. A null url becomes urn:page:<page_id>; line breaks and blanks in an url are percent-encoded.
+    the other being a revisit. A group that has no page_id at all has no revisits. A null url becomes urn:page:<page_id>; line breaks
+    and blanks in an url are percent-encoded. Pages of each class of sizes are written to files of their own, a folder a class,
+    of as many records as the class allows. An empty table writes empty folders.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))), "\r", "%0D"), "\n", "%0A"), " ", "%20")
@@ -79,39 +85,105 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REV
     revisit = _record("revisit", response_id, uri, "application/http; msgtype=response", http, digest, F.lit(f"WARC-Profile: {REVISIT_PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), refers_to))
     fields = _lines(F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string")), F.concat(F.lit("refers-to-page-id: "), F.when(is_revisit, first).otherwise("")))
     metadata = _record("metadata", metadata_id, uri, "application/warc-fields", fields, concurrent)
-    records = rows.select(F.explode(F.array(request, F.when(is_revisit, revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    number = F.lit(len(classes) - 1)
+    for i in range(len(classes) - 2, -1, -1):
+        number = F.when(F.col("bytes") < classes[i][0], i).otherwise(number)
+    for i in sorted(r.i for r in ids.select(number.alias("i")).distinct().collect()) or [0]:  # classes in use
+        records = rows.where(number == i).select(F.explode(F.array(request, F.when(is_revisit, revisit).otherwise(response), metadata)).alias("value"))
+        records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", classes[i][1]).option("compression", compression).text(f"{path}/class-{i}")
+
+
+def decompressed(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The content of an archive in pieces of at most `step` bytes; a gzipped one may have one member, one a record, or a cut end."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), step):
+            yield data[at : at + step]
+        return
+    rest = memoryview(data)
+    while len(rest):
+        member, fed = zlib.decompressobj(31), 0
+        pending = b""
+        while not member.eof and (pending or fed < len(rest)):
+            if not pending:
+                pending = bytes(rest[fed : fed + step])
+                fed += len(pending)
+            try:
+                piece = member.decompress(pending, step)
+            except zlib.error:  # what follows the last member is no archive
+                return
+            pending = member.unconsumed_tail
+            if piece:
+                yield piece
+        rest = rest[fed - len(member.unused_data) :] if member.eof else rest[len(rest) :]
+
+
+class _Window:
+    """A sliding piece of a stream: what was read and not yet passed."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at, self.ended = pieces, bytearray(), 0, False
+
+    def more(self) -> bool:
+        """Reads a piece; whether there was one."""
+        piece = next(self.pieces, None)
+        if piece is None:
+            self.ended = True
+            return False
+        del self.held[: self.at]
+        self.at = 0
+        self.held += piece
+        return True
+
+    def find(self, what: bytes) -> int:
+        """Bytes from here to the next `what`, or -1."""
+        begin = 0
+        while True:
+            found = self.held.find(what, self.at + begin)
+            if found >= 0:
+                return found - self.at
+            begin = max(0, len(self.held) - self.at - len(what) + 1)
+            if not self.more():
+                return -1
+
+    def has(self, n: int) -> bool:
+        while len(self.held) - self.at < n and self.more():
+            pass
+        return len(self.held) - self.at >= n
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += n
+        return out
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
-    """The records of an archive, in order; a gzipped one may have one member or one a record. A truncated last record and bytes between records are skipped."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, size = 0, len(data)
-    while at < size:
-        if not data.startswith(b"WARC/", at):
-            at = data.find(b"\nWARC/", at) + 1
-            if not at:
+    """The records of an archive, in order. A truncated last record and bytes between records are skipped."""
+    w = _Window(decompressed(data))
+    while w.has(5):
+        if w.held[w.at : w.at + 5] != b"WARC/":
+            skip = w.find(b"\nWARC/")
+            if skip < 0:
                 return
-        end = data.find(b"\r\n\r\n", at)
+            w.take(skip + 1)
+        end = w.find(b"\r\n\r\n")
         if end < 0:
             return
         headers: dict[str, str] = {}
         concurrent = []
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in w.take(end + 4).decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             name, value = name.strip().lower(), value.strip()
-            headers[name] = value
+            if name:
+                headers[name] = value
             if name == "warc-concurrent-to":
                 concurrent.append(value)
-        length = int(headers.get("content-length", "0") if headers.get("content-length", "0").isdigit() else 0)
-        block = data[end + 4 : end + 4 + length]
-        if len(block) < length:
+        stated = headers.get("content-length", "0")
+        length = int(stated) if stated.isdigit() else 0
+        if not w.has(length):
             return
-        at = end + 4 + length
-        while data.startswith(b"\r\n", at):
-            at += 2
-        yield record_row(headers, concurrent, block)
+        yield record_row(headers, concurrent, w.take(length))
+        while w.has(2) and w.held[w.at : w.at + 2] == b"\r\n":
+            w.take(2)
 
 
 def record_row(headers: dict[str, str], concurrent: list[str], block: bytes) -> dict:
@@ -136,18 +208,20 @@ def record_row(headers: dict[str, str], concurrent: list[str], block: bytes) ->
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under path, in the columns RECORD. Archives are read whole, one at a time."""
+    """The records of all archives under path, in the columns RECORD, no archives giving none. A task holds one compressed archive and
+    streams its records."""
     kind = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("target_uri", pa.string()), ("warc_date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_sha1", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http_status", pa.int32()), ("http_headers", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, size = [], 0
                 for row in parse_archive(content.as_py() or b""):
                     rows.append(row)
-                    if len(rows) == 512:
+                    size += row["payload_bytes"] or 0
+                    if len(rows) == 512 or size > 1 << 22:
                         yield pa.RecordBatch.from_pylist(rows, kind)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
@@ -160,7 +234,7 @@ def assemble(records: DataFrame) -> DataFrame:
     A record belongs to the response or revisit that it names in concurrent-to, that names it, or that a record which it names
     belongs to (metadata -> request -> response). Records that reach none are left out; a capture without request or metadata
     has empty arrays. Only identifiers are joined to find captures; payloads move once, or never where records come without
-    them.
+    them. No records give no captures.
     """
     heads = records.where(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"))
     links = records.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
@@ -177,14 +251,18 @@ def assemble(records: DataFrame) -> DataFrame:
     return head.join(side, "capture_id", "left").select("capture_id", "response", F.coalesce("requests", empty).alias("requests"), F.coalesce("metadata", empty).alias("metadata"))
 
 
-def captures(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE, payloads: bool = True) -> DataFrame:
+def captures(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, classes: tuple = CLASSES, payloads: bool = True) -> DataFrame:
     """Write pages to archives in the shared folder, read them back and assemble: see write_archives, read_archives, assemble.
-    payloads: whether captures carry their payloads, besides the sizes and digests of these."""
-    bounded_batches(pages.sparkSession)
-    path = new_path(pages.sparkSession, "warc")
-    write_archives(pages, path, min_revisit_bytes, records_per_file)
-    records = read_archives(pages.sparkSession, path).drop("headers", *([] if payloads else ["payload", "http_headers"]))
-    return assemble(materialize(records, "warc-records"))
+    payloads: whether captures carry their payloads, besides the sizes and digests of these. The archives are deleted once they
+    are parsed; write_archives keeps them. An empty table gives no captures; a payload is held whole, twice at most."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    path = new_path(spark, "warc")
+    write_archives(pages, path, min_revisit_bytes, classes)
+    records = read_archives(spark, path).drop("headers", *([] if payloads else ["payload", "http_headers"]))
+    parsed = materialize(records, "warc-records", compression="zstd")
+    delete_path(spark, path)
+    return assemble(parsed)
 
 
 def resolve_revisits(found: DataFrame) -> DataFrame:
