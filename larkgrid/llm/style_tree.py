@@ -1,11 +1,14 @@
 """Main-text extraction with a site style tree.
 
-The pages of a host are merged into one tree of styles: a node is a path of block elements (tag and class), and of each node
-the tree knows how often it has which sequence of children (presentation) and which text (content). The importance of a node is
-the normalised entropy of these: what looks and reads alike on every page of a site is worth nothing. A branch's importance is
-the mean over its nodes, weighted down with depth. Branches in which no part has more than a low importance are removed from
-each page, inside its article too, besides what tags, classes and roles call boilerplate; where the page marks an article, no
-more than that is taken.
+The pages of a host are merged into one tree of styles: a node is a path of block elements (tag, classes, role), and of each
+node the tree knows how often it has which sequence of children (presentation) and which text (content). The importance of a
+node is the normalised entropy of these: what looks and reads alike on every page of a site is worth nothing. A branch's
+importance is the mean over its nodes, weighted down with depth.
+
+What the tree has measured meets what tags, classes and roles suggest: the log odds of a prior (a menu, a paragraph, any other
+element) and the importance, which weighs more the more pages it was measured on. Branches with negative log odds are removed
+from each page, within its article and without. With one page of a site there is little but the prior; with many, a repeated
+list in an article goes and a section with an unlucky class name stays.
 
 The tree is never in one place: pages give counted (host, path, feature) rows, entropies are sums over them, and a branch's mean
 is an aggregate over the prefixes of paths.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from math import log
 
 import pyarrow as pa
 import xxhash
@@ -24,71 +28,112 @@ from pyspark.sql import functions as F
 
 from larkgrid.llm.common import all_salts, materialize, salt_of
 
-#: A branch is removed if its importance is below LEAST on at least PAGES different pages; nodes deeper than DEPTH count as part of the node there.
-LEAST, PAGES, GAMMA, DEPTH = 0.2, 4, 0.9, 24
-#: What rules of classes and roles call boilerplate is so up to MINOR of a page's text; an article or main is taken from TAKEN of it.
-MINOR, TAKEN = 0.75, 0.2
+#: The importance 0.5 tells nothing, 0 and 1 change the log odds by half of STRENGTH, once there are many more than KAPPA pages.
+STRENGTH, KAPPA, GAMMA = 5.0, 4.0, 0.9
+#: Nodes deeper than DEPTH are counted as part of the node there; no text is lost by it.
+DEPTH = 24
+#: Without an article or main element, a branch with more than MOST of a page's text isn't removed; an article or main is taken from TAKEN of the text.
+MOST, TAKEN = 0.75, 0.2
+#: Prior probabilities to be main text: elements of menus and forms, elements that classes or roles call boilerplate, others, headings and what holds the article.
+MENU, CALLED, OTHER, HEADING = 0.05, 0.1, 0.8, 0.9
 
 # Element names and class words by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noframes iframe noembed".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr output q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr button select".split())
-DROPPED = set("head script style noscript template iframe object embed svg canvas audio video form button select textarea input nav aside footer dialog menu noframes xmp noembed title".split())
-#: Of these, what may stand around an article: a form always, the others if no article or main stands outside them.
-WRAPPERS = set("aside nav footer dialog menu button".split())
+#: What no reader sees as text.
+UNSEEN = set("head script style noscript template iframe object embed svg canvas audio video textarea input noframes xmp noembed title select".split())
+MENUS = set("nav aside footer dialog menu form button".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 html body article main".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CLASS_WORDS = set("ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar sidenav aside footer masthead cookie cookies consent gdpr notice notices notification disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies respond pagination pager toolbar skiplink".split())
 HEADER_WORDS = {"header", "topbar"}
+#: Words that may stand beside them in a name without changing what it names.
+BESIDE = set("left right top bottom main primary secondary inner outer container wrapper wrap area list box block section item items link links post posts page site blog article widget widgets slot bar button buttons unit row col mobile desktop global local text title form".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in RAW}
 
 
-class Element:
-    __slots__ = ("tag", "path", "depth", "hard", "soft", "holds_main", "main", "children", "unseen")
-
-    def __init__(self, tag: str, path: str, depth: int, hard: bool, soft: bool, main: int):
-        self.tag, self.path, self.depth, self.hard, self.soft, self.main = tag, path, depth, hard, soft, main
-        self.holds_main, self.children, self.unseen = False, [], hard and tag not in WRAPPERS
+def log_odds(p: float) -> float:
+    return log(p / (1 - p))
 
 
-def boilerplate(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool, bool]:
-    """(dropped whatever it holds, dropped unless it holds the article)."""
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True, True
-    if tag in DROPPED:
-        return tag != "form", tag == "form"
+class Element:
+    """A node of a page, linked to the one that it stands in. unseen, main and free (in no menu or the like) hold for what is below too."""
+
+    __slots__ = ("tag", "up", "path", "depth", "prior", "unseen", "main", "free", "holds_main", "children", "size")
+
+    def __init__(self, tag: str, up: Element | None, path: str, depth: int, prior: float, unseen: bool, main: int):
+        self.tag, self.up, self.path, self.depth, self.prior, self.unseen, self.main = tag, up, path, depth, prior, unseen, main
+        self.free = prior >= 0 and (up is None or up.free)
+        self.holds_main, self.children, self.size = False, [], 0
+
+
+def names_boilerplate(name: str, in_main: bool) -> bool:
+    """Whether a class or id names boilerplate: it has a word of the list, and no word that makes it another thing."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    bad = [w in CLASS_WORDS or (not in_main and w in HEADER_WORDS) for w in words]
+    return any(bad) and all(b or w in BESIDE for b, w in zip(bad, words))
+
+
+def style_of(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[str, float]:
+    """The name of an element in paths, and its prior log odds to be main text."""
+    classes = re.sub(r"\d+", "", attributes.get("class", "")).replace("/", "").split()
+    called = [c for c in classes if names_boilerplate(c, in_main)]
+    style = tag + "".join("." + c.lower() for c in [*called, *(c for c in classes if c not in called)][:2])
+    ident = attributes.get("id", "").replace("/", "")
+    if ident and names_boilerplate(ident, in_main):
+        style, called = f"{style}#{ident.lower()}", [*called, ident]
+    role = attributes.get("role", "").lower()
+    if role in ROLES:
+        style, called = f"{style}@{role}", [*called, role]
+    if tag in MENUS:
+        return style, log_odds(MENU)
+    if called and tag not in ("html", "body"):
+        return style, log_odds(CALLED)
     if tag == "header" and not in_main:
-        return False, True
-    if tag in ("html", "body", "article", "main") and not attributes.get("class"):
-        return False, False
-    words = {w.lower() for w in _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    bad = attributes.get("role", "").lower() in ROLES or bool(words & CLASS_WORDS) or (not in_main and bool(words & HEADER_WORDS))
-    return False, bad and tag not in ("html", "body")
+        return style, log_odds(CALLED)
+    return style, log_odds(HEADING if tag in HEADINGS else OTHER)
 
 
-def parse(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
-    """Blocks of text in page order, each with the chain of elements that it stands in, and all block elements."""
-    root = Element("", "", 0, False, False, 0)
-    stack, made, blocks, held = [root], [], [], []
+def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
+    """Blocks of text in page order, each with the element that it stands in, and all block elements, outer ones first. Linear in the page."""
+    root = Element("", None, "", 0, log_odds(HEADING), False, 0)
+    stack, made, blocks, held = [root], [root], [], []
+    is_open: dict[str, int] = {}
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                blocks.append((stack[:], text))
+                blocks.append((stack[-1], text))
 
     def pop_to(at: int) -> None:
         if any(e.tag not in INLINE for e in stack[at:]):
             flush()
+        for e in stack[at:]:
+            is_open[e.tag] -= 1
         del stack[at:]
 
+    def closes(tag: str) -> int:
+        """Where the element stands that an end tag closes, or 0."""
+        if not is_open.get(tag):
+            return 0
+        i = len(stack) - 1
+        while i > 0 and stack[i].tag != tag:
+            if tag in INLINE and stack[i].tag not in INLINE or tag == "p" and stack[i].tag in ("table", "td", "th", "article", "button"):
+                return 0
+            i -= 1
+        return i
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -101,12 +146,7 @@ def parse(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
         closing, opening, raw = m[1], m[2] or m[4], m[3] if m[2] else m[5]
         if closing:
             tag = closing.lower()
-            i = len(stack) - 1
-            while i > 0 and stack[i].tag != tag:
-                if tag in INLINE and stack[i].tag not in INLINE or tag == "p" and stack[i].tag in ("table", "td", "th", "article", "button"):
-                    i = 0
-                    break
-                i -= 1
+            i = closes(tag)
             if i > 0:
                 pop_to(i)
             elif tag not in INLINE:
@@ -118,14 +158,14 @@ def parse(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
         if tag == "br":
             held.append(" ")
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and is_open.get("p"):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     pop_to(i)
                     break
                 if stack[i].tag in ("table", "td", "th", "button"):
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(is_open.get(t) for t in SIBLINGS[tag]):
             lowest = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SIBLINGS[tag]:
@@ -140,121 +180,157 @@ def parse(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
             if tag == "hr":
                 flush()
             continue
-        hard, soft = boilerplate(tag, attributes, top.main > 0)
-        hidden = hard and soft  # whatever the tag
+        style, prior = style_of(tag, attributes, top.main > 0)
+        unseen = top.unseen or tag in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
         main = 2 if tag == "article" else max(top.main, 1) if tag == "main" or attributes.get("role") == "main" else top.main
-        if tag in INLINE and not (hard or soft):
-            e = Element(tag, top.path, top.depth, False, False, main)
+        if tag in INLINE and prior > 0:
+            e = Element(tag, top, top.path, top.depth, prior, unseen, main)
         else:
             if tag not in INLINE:
                 flush()
             if top.depth < DEPTH:
-                style = "".join("." + x for x in re.sub(r"\d+", "", attributes.get("class", "")).lower().replace("/", "").split()[:2])
-                top.children.append(tag + style)
-                e = Element(tag, f"{top.path}/{tag}{style}", top.depth + 1, hard, soft, main)
+                top.children.append(style)
+                e = Element(tag, top, f"{top.path}/{style}", top.depth + 1, prior, unseen, main)
                 made.append(e)
             else:
-                e = Element(tag, top.path, top.depth, hard, soft, main)
-        if hidden:
-            e.unseen = True
+                e = Element(tag, top, top.path, top.depth, prior, unseen, main)
         if tag in RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end()
+            at = _RAW_END[tag].search(page, at).end()
             continue
-        if tag == "article" or main > top.main:
-            for x in stack:
-                x.holds_main = True
+        if (tag == "article" or main > top.main) and not unseen:
+            x = top
+            while x is not None and not x.holds_main:
+                x.holds_main, x = True, x.up
         stack.append(e)
+        is_open[tag] = is_open.get(tag, 0) + 1
     flush()
     return blocks, made
 
 
-def main_text(page: str, noise: set[str] = frozenset()) -> str:
-    """The text of the page's article; where there is none, of its main element, or of all of it, without boilerplate and without the branches in noise.
+def path_hash(path: str) -> int:
+    return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
-    Boilerplate rules never leave a page with visible text empty, and don't reach elements with most of the page's text. An
-    article or main of a small share of the text is part of the page like any other.
+
+def main_text(page: str, noise: set[int] = frozenset()) -> str:
+    """The text of a page without the branches in noise (see path_hash), which the tree of its site names; of its article or main
+    element, if that has a good share of what is left.
+
+    An element around the article is never removed (a menu or form if all articles stand in such), nor, where there is no article
+    or main, one with most of the text. A page whose text would all go keeps it: where all of a page repeats, nothing of it is
+    boilerplate.
     """
-    blocks, _ = parse(page)
-    seen = [(chain, text) for chain, text in blocks if not any(e.unseen for e in chain)]
-    outside = [(chain, text) for chain, text in seen if not any(e.hard for e in chain)]
-    around = [(chain, text) for chain, text in seen if not any(e.hard and not e.holds_main for e in chain)]
-    kept = by_rules(outside)
-    if len(around) > len(outside) and not any(chain[-1].main for chain, _ in kept):
-        kept = by_rules(around)
-    kept = kept or outside or around or seen
+    blocks, made = parse(page)
+    seen = [(e, text) for e, text in blocks if not e.unseen]
+    total = sum(len(text) for _, text in seen)
+    has_main, free_main = any(e.main for e, _ in seen), any(e.main and e.free for e, _ in seen)
+    state: dict[int, tuple[bool, Element | None]] = {}
+
+    def removed(e: Element) -> bool:
+        """Whether e is in a removed branch. Remembered for all elements on the way, so that deep pages stay linear."""
+        way = []
+        x: Element | None = e
+        while x is not None and id(x) not in state:
+            way.append(x)
+            x = x.up
+        gone = state[id(x)] if x is not None else False
+        for y in reversed(way):
+            if not gone and y.path and path_hash(y.path) in noise:
+                around = y.holds_main and not (free_main and y.prior < 0)
+                gone = not around and (has_main or y.size <= MOST * total)
+            state[id(y)] = gone
+        return gone
+
+    if noise and not has_main:
+        for e, text in seen:
+            e.size += len(text)
+        for e in reversed(list(_elements(seen))):
+            if e.up is not None:
+                e.up.size += e.size
+    kept = [(e, text) for e, text in seen if not removed(e)] if noise else seen
+    kept = kept or seen
     size = sum(len(text) for _, text in kept)
     for level in (2, 1):
-        inside = [(chain, text) for chain, text in kept if chain[-1].main >= level]
+        inside = [(e, text) for e, text in kept if e.main >= level]
         if sum(len(text) for _, text in inside) > TAKEN * size:
             kept = inside
             break
-    if noise:
-        plain = [(chain, text) for chain, text in kept if not any(e.path in noise and not e.holds_main for e in chain)]
-        kept = plain or kept  # where all of a page repeats, it is not boilerplate
     return " ".join(text for _, text in kept)
 
 
-def by_rules(blocks: list[tuple[list[Element], str]]) -> list[tuple[list[Element], str]]:
-    """The blocks that aren't below an element that rules drop unless it holds the article, or most of the text."""
-    sizes: dict[int, int] = {}
-    for chain, text in blocks:
-        for e in chain:
-            if e.soft and not e.holds_main:
-                sizes[id(e)] = sizes.get(id(e), 0) + len(text)
-    most = MINOR * sum(len(text) for _, text in blocks)
-    has_main = any(chain[-1].main for chain, _ in blocks)
-    return [(chain, text) for chain, text in blocks if not any(id(e) in sizes and (has_main or sizes[id(e)] <= most) for e in chain)]
+def _elements(blocks: list[tuple[Element, str]]) -> list[Element]:
+    """The elements that blocks stand in and those around them, outer ones first."""
+    known: set[int] = set()
+    out: list[Element] = []
+    for e, _ in blocks:
+        way = []
+        x: Element | None = e
+        while x is not None and id(x) not in known:
+            known.add(id(x))
+            way.append(x)
+            x = x.up
+        out.extend(reversed(way))
+    return out
 
 
-def page_features(page: str) -> list[tuple[str, int, int]]:
-    """(path, kind, hash) of each path of a page: kind 0 is the children's styles, runs of one style counting once, 1 the text."""
+def page_features(page: str) -> list[tuple[str, float, int, int]]:
+    """(path, prior, kind, hash) of each path of a page: kind 0 is the children's styles, runs of one style counting once, 1 the text."""
     blocks, made = parse(page)
     styles: dict[str, list[str]] = {}
-    for e in made:
+    prior: dict[str, float] = {}
+    for e in made[1:]:
         runs = [c for i, c in enumerate(e.children) if not i or c != e.children[i - 1]]
         styles.setdefault(e.path, []).append(" ".join(runs))
+        prior[e.path] = min(e.prior, prior.get(e.path, e.prior))
     texts: dict[str, list[str]] = {}
-    for chain, text in blocks:
-        texts.setdefault(chain[-1].path, []).append(text)
-    out = [(p, 0, xxhash.xxh3_64_intdigest("|".join(dict.fromkeys(v))) - (1 << 63)) for p, v in styles.items() if p not in texts]
-    return out + [(p, 1, xxhash.xxh3_64_intdigest("|".join(v)) - (1 << 63)) for p, v in texts.items()]
+    for e, text in blocks:
+        if e.path:
+            texts.setdefault(e.path, []).append(text)
+    out = [(p, prior[p], 0, path_hash("|".join(dict.fromkeys(v)))) for p, v in styles.items() if p not in texts]
+    return out + [(p, prior[p], 1, path_hash("|".join(v))) for p, v in texts.items()]
 
 
 def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def noise_branches(pages: DataFrame, least: float = LEAST, fewest: int = PAGES, gamma: float = GAMMA) -> DataFrame:
-    """(host, paths): the style tree's branches of low importance for each host. Equal pages of a host count once."""
+def noise_branches(pages: DataFrame, strength: float = STRENGTH, kappa: float = KAPPA, gamma: float = GAMMA) -> DataFrame:
+    """(host, paths): hashes of the paths of the style tree's branches to remove, for each host. Equal pages of a host count once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = page.as_py()
-                digest = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                digest = path_hash(text)
                 rows.extend((host, digest, *f) for f in page_features(text))
+                if len(rows) > 50_000:
+                    yield _rows(rows)
+                    rows = []
             if rows:
-                h, d, p, k, v = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d, pa.int64()), pa.array(p), pa.array(k, pa.int32()), pa.array(v, pa.int64())], ["host", "page", "path", "kind", "value"])
+                yield _rows(rows)
 
-    features = pages.where("html is not null").select(host_of().alias("host"), "html").mapInArrow(emit, "host string, page long, path string, kind int, value long").distinct()
-    counts = features.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "page", "path", "prior", "kind", "value"])
+
+    features = pages.where("html is not null").select(host_of().alias("host"), "html").mapInArrow(emit, "host string, page long, path string, prior double, kind int, value long").distinct()
+    counts = features.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("c"), F.min("prior").alias("prior"))
+    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), F.min("prior").alias("prior"))
     own = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
+    parts = F.split("path", "/")
+    at = F.explode(F.sequence(F.lit(2), F.size("parts"))).alias("k")
+    spread = nodes.select("host", "m", "prior", own.alias("own"), parts.alias("parts")).select("*", at)
+    spread = spread.withColumn("self", F.col("k") == F.size("parts")).withColumn("path", F.concat_ws("/", F.slice("parts", 1, F.col("k"))))
+    weight = F.pow(F.lit(gamma), F.size("parts") - F.col("k")) * F.col("m")
+    branches = spread.groupBy("host", "path").agg((F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance"), F.sum(F.when(F.col("self"), F.col("m"))).alias("m"), F.min(F.when(F.col("self"), F.col("prior"))).alias("prior"))
+    odds = F.col("prior") + F.lit(strength) * (F.col("importance") - 0.5) * F.col("m") / (F.col("m") + kappa)
+    low = branches.where(odds < 0).select("host", "path")
 
-    def prefixes(df: DataFrame) -> DataFrame:
-        parts = F.split("path", "/")
-        return df.withColumn("parts", parts).withColumn("k", F.explode(F.sequence(F.lit(2), F.size("parts")))).withColumn("path", F.concat_ws("/", F.slice("parts", 1, F.col("k"))))
+    @F.pandas_udf("long")
+    def hashed(paths):
+        return paths.map(path_hash)
 
-    weight = F.pow(F.lit(gamma), F.size("parts") - F.col("k")) * F.col("m")
-    importance = (F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance")
-    branches = prefixes(nodes.select("host", "path", "m", own.alias("own"))).groupBy("host", "path").agg(importance, F.max("m").alias("m"))
-    # a branch goes if it and all below it are of low importance
-    whole = prefixes(branches.withColumn("at", F.col("path"))).groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max(F.when(F.col("path") == F.col("at"), F.col("m"))).alias("m"))
-    low = whole.where((F.col("m") >= fewest) & (F.col("importance") < least))
-    return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
+    return low.select("host", hashed("path").alias("path")).groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -262,11 +338,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give empty text. A null url has the empty host; its pages share a tree. White space within a block is
     one space, blocks are joined by one in page order. Equal rows stay; an empty table gives an empty table; an existing column
-    text is replaced.
+    text is replaced. Long and deep pages are worked on whole, in time and memory linear in the page.
     """
     noise = materialize(noise_branches(pages), "noise")
     rest = [c for c in pages.columns if c.lower() != "text"]
-    bytes_ = noise.agg(F.sum(F.octet_length(F.concat_ws("", "paths")))).first()[0] or 0
+    bytes_ = (noise.agg(F.sum(F.size("paths"))).first()[0] or 0) * 8
     salted = noise.select(F.col("host").alias("__host"), F.col("paths").alias("__paths"), all_salts("__s"))
     if bytes_ < 2_000_000:
         salted = F.broadcast(salted)

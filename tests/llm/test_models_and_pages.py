@@ -1,9 +1,11 @@
 """Language models, language ID, toxicity, mixing, WARC, HTML extraction and the pipeline, on small tables."""
 
 import collections
+import gzip
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -163,7 +165,7 @@ def test_warc_round_trip(spark):
     big, trap = "é" * 600, "WARC/1.1\r\nContent-Length: 5\r\n\r\nx\r\n\r\n" * 40
     rows = [(1, "http://a.example/x y\r\n", big), (7, "https://b.example", big), (3, None, big), (4, "http://c.example/p?q", trap), (5, "x", None), (6, "x", ""), (8, "y", "short"), (9, "y", "short"), (7, "https://b.example", big), (None, "n", big), (10, "z", "L" * 500_000)]
     pages = make(spark, rows, "page_id long, url string, html string")
-    got = warc.captures(pages, records_per_file=5).collect()
+    got = warc.captures(pages, classes=((1000, 5), (10_000, 4), (None, 3))).collect()
     seen = []
     for r in got:
         assert len(r.requests) == 1 and len(r.metadata) == 1 and r.requests[0].http_headers.startswith("GET ")
@@ -186,6 +188,68 @@ def test_warc_reader_and_chains(spark):
     data = b"junk\nWARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\nWARC/1.0\r\nContent-Length: 99\r\n\r\ncut"
     (one,) = warc.parse_archive(data)
     assert one["payload"] == b"\r\n\r\nbody" and one["http_status"] == 404 and one["payload_sha1"] == hashlib.sha1(b"\r\n\r\nbody").hexdigest()
+    for packed in (gzip.compress(data), b"".join(gzip.compress(data[i : i + 7]) for i in range(0, len(data), 7)), gzip.compress(data) + b"tail", gzip.compress(data)[:-9]):
+        assert [x["payload"] for x in warc.parse_archive(packed)] == [one["payload"]]
+    long = b"WARC/1.0\r\nContent-Length: 9000000\r\n\r\n" + b"\r\nWARC/1.0\r\n" * 700_000 + b"x" * 600_000 + b"\r\n\r\n" + data[5:]
+    assert [len(x["payload"]) for x in warc.parse_archive(gzip.compress(long, 1))] == [9_000_000, 8]
+
+
+def brute_noise(pages):
+    """The style tree of a site's pages by dictionaries: path -> log odds of being main text; what is negative is noise."""
+    seen, prior = collections.defaultdict(list), {}
+    for page in dict.fromkeys(pages):
+        for path, p, kind, value in style_tree.page_features(page):
+            seen[path, kind].append(value)
+            prior[path] = min(p, prior.get(path, p))
+    odds = {}
+    for path in prior:
+        top = bottom = pages_of = 0.0
+        for (q, kind), values in seen.items():
+            if (q + "/").startswith(path + "/"):
+                m = len(values)
+                entropy = -sum(c / m * math.log(c / m) for c in collections.Counter(values).values()) / math.log(m) if m > 1 else 1.0
+                weight = style_tree.GAMMA ** (q.count("/") - path.count("/")) * m
+                top, bottom, pages_of = top + weight * entropy, bottom + weight, pages_of + m * (q == path)
+        odds[path] = prior[path] + style_tree.STRENGTH * (top / bottom - 0.5) * pages_of / (pages_of + style_tree.KAPPA)
+    return {style_tree.path_hash(p) for p, o in odds.items() if o < 0}
+
+
+def alone(page):
+    """The main text of the only page of its site."""
+    return style_tree.main_text(page, brute_noise([page]))
+
+
+def random_page(rng):
+    box = lambda tag, inner, c="": f"<{tag}{f' class={chr(34)}{c}{chr(34)}' if c else ''}>{inner}</{tag}>"
+    fill = lambda n: " ".join(rng.choices("abcdefghijk", k=n))
+    parts = [box("nav", box("ul", "".join(box("li", fill(1)) for _ in range(3)))), box("div", rng.choice(["buy now", "click here", fill(3)]), rng.choice(["ad", "share-price", "teaser"]))]
+    parts.append(box(rng.choice(["article", "main", "div"]), box("h1", fill(4)) + "".join(box("p", fill(20)) for _ in range(rng.randint(1, 4))) + box("ul", "<li>Subscribe<li>Follow us")))
+    return "<html><body>" + "".join(rng.sample(parts, rng.randint(1, 3))) + box("footer", "all rights") + "</body></html>"
+
+
+def test_style_tree_matches_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, f"http://h{rng.choice([0, 0, 0, 0, 1, 1, 2, 3 + i])}.example/{i}", random_page(rng)) for i in range(150)]
+    rows += [(200, None, random_page(rng)), (201, rows[0][1], None), (202, rows[0][1], ""), (203, rows[0][1], rows[0][2])]
+    pages = make(spark, rows, "page_id long, url string, html string")
+    by_host = collections.defaultdict(list)
+    for _, u, h in rows:
+        if h is not None:
+            by_host[u and u.split("/")[2]].append(h)
+    noise = {host: brute_noise(p) for host, p in by_host.items()}
+    found = {r.host or None: set(r.paths) for r in style_tree.noise_branches(pages).collect()}
+    assert found == {host: n for host, n in noise.items() if n}
+    got = {r.page_id: r.text for r in style_tree.extract(pages).collect()}
+    assert got == {i: style_tree.main_text(h or "", noise[u and u.split("/")[2]]) for i, u, h in rows}
+    assert sum(got[i] != style_tree.main_text(h or "") for i, _, h in rows) > 100  # without the tree
+
+
+def test_deep_and_long_pages_take_linear_time():
+    began = time.process_time()
+    page = "<div>x" * 170_000
+    assert style_tree.main_text(page, {1}) == " ".join(["x"] * 170_000) and len(style_tree.page_features(page)) == style_tree.DEPTH
+    assert style_tree.main_text("<p><i>" * 60_000 + "y</span>" * 60_000, {1}).count("y") == 60_000
+    assert time.process_time() - began < 60
 
 
 @pytest.mark.parametrize(
@@ -203,7 +267,7 @@ def test_warc_reader_and_chains(spark):
     ],
 )
 def test_main_text(page, text):
-    assert style_tree.main_text(page) == text
+    assert alone(page) == text
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):

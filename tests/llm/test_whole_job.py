@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkgrid.llm import decontaminate, langid, omh, queries, style_tree, warc
+from test_models_and_pages import alone
 
 
 def make(spark, rows, schema="doc_id long, text string"):
@@ -88,10 +89,14 @@ LONG = "the long story of a page " * 20
         ("<div class='ad'>buy</div>", "buy"),
         (f"<div><p>{LONG}</p></div><article>teaser</article>", LONG.strip() + " teaser"),
         (f"<main><article><div class='comments'>{LONG}</div><p>story</p></article></main>", "story"),
+        ("<div class='content no-sidebar'><p>story</p></div>", "story"),
+        ("<div id=page class='layout-with-sidebar'><p>story</p></div>", "story"),
+        ("<article><section class='social-science'>one</section><div class='share-price'>two</div></article>", "one two"),
+        (f"<article class='teaser'>teaser</article><div class='story'><p>{LONG}</p></div>", "teaser " + LONG.strip()),
     ],
 )
-def test_rules_do_not_lose_the_main_text(page, text):
-    assert style_tree.main_text(page) == text
+def test_priors_do_not_lose_the_main_text(page, text):
+    assert alone(page) == text
 
 
 def test_style_tree_acts_inside_the_article(spark):
