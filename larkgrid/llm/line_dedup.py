@@ -1,15 +1,21 @@
 """Line deduplication by levelled sorted runs of line hashes.
 
 Every document's lines give keys (the line stripped of ASCII white space, A-Z lower-cased) of 128 bits. The documents come in
-batches of falling doc_id. Each batch is aggregated to one row per key, sorted, merge-anti-joined with the runs so far (a key
-found there has its keeper in an earlier batch, so all its lines here are candidates; a new key gets its keeper here), and
-added as a run of its own. When a level holds `fanout` runs they are compacted into one run of the next level.
+batches of falling doc_id. Each batch is aggregated to one row per key and merge-anti-joined with the runs so far. The new keys
+are added as a run of their own, with the keeper that they have in this batch; of the known ones, whose keeper is in an earlier
+batch, only the number of further documents is noted. So each key stands in one run. When a level holds `fanout` runs they are
+merged into one run of the next level.
+
+Runs are tables bucketed and sorted by key, all into the same buckets, so a batch meets them without an exchange or a sort of
+what they hold: only the batch moves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,50 +53,99 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The store: levels of sorted runs (h, n_docs, keeper) in the shared folder; a batch must hold lower doc_ids than those before."""
+    """The store: levels of sorted runs (h, n_docs, keeper) in the shared folder, each key in one of them, and notes (h, n_docs) of
+    further documents. A batch must hold lower doc_ids than those before."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.schema = None
+        self.notes: list[str] = []
+        self.paths: dict[str, str] = {}
+
+    @contextmanager
+    def sorted_scans(self):
+        """Spark takes the order of a bucket's only file for granted under this setting alone; it is set back afterwards."""
+        setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(setting, before)
 
     def _write(self, df: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"line-run-{level}")
-        df.sortWithinPartitions("h").write.parquet(path)
-        self.schema = df.schema
+        """A run of df, whose rows are dealt by h into as many partitions as there are buckets: a file per bucket."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, f"line-run-{level}")
+        with self.sorted_scans():
+            df.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        delete_path(self.spark, self.paths.pop(name))
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
-    def runs(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
+    def unknown(self, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of a batch (h, n_docs, keeper) whose key no run has, and those whose key one has."""
+        own = own.withColumn("known", F.lit(None).cast("boolean"))
+        for run in self.runs():
+            own = own.join(run.select("h", F.lit(True).alias("here")).hint("merge"), "h", "left").withColumn("known", F.coalesce("known", "here")).drop("here")
+        return own.where("known is null").select("h", "n_docs", "keeper"), own.where("known").select("h", "n_docs")
 
     def add(self, keys: DataFrame) -> None:
-        """Merge-anti-join a batch of (h, doc_id) with the runs and add its own run."""
+        """Merge-anti-join a batch of (h, doc_id) with the runs and add the new keys as a run."""
         own = keys.groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        runs = self.runs()
-        if runs is not None:
-            known = runs.select("h").distinct().withColumn("known", F.lit(True))
-            own = own.join(known.hint("merge"), "h", "left").select("h", "n_docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
-        self._write(own, 0)
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            own = own.repartition(self.buckets, "h")
+        with self.sorted_scans():
+            new, known = self.unknown(own)
+            if self.runs():
+                self.notes.append(new_path(self.spark, "line-notes"))
+                known.write.parquet(self.notes[-1])
+        self._write(new, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
             level += 1
 
     def compact(self, level: int) -> None:
-        paths = self.levels[level]
-        merged = self.spark.read.schema(self.schema).parquet(*paths).groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-        self._write(merged, level + 1)
-        self.levels[level] = []
-        for p in paths:
-            delete_path(self.spark, p)
+        """Merges the runs of a level, whose keys differ, into one of the next: a full join of sorted buckets."""
+        names, self.levels[level] = self.levels[level], []
+        with self.sorted_scans():
+            merged = self.spark.table(names[0])
+            for name in names[1:]:
+                other = self.spark.table(name).select("h", *[F.col(c).alias(f"{c}_") for c in ("n_docs", "keeper")])
+                merged = merged.join(other.hint("merge"), "h", "full_outer").select("h", *[F.coalesce(c, f"{c}_").alias(c) for c in ("n_docs", "keeper")])
+            self._write(merged, level + 1)
+        for name in names:
+            self._drop(name)
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys of at least min_docs documents and the doc_id that keeps them."""
-        runs = self.runs()
-        return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")).where(F.col("n_docs") >= min_docs)
+        """Keys of at least min_docs documents and the doc_id that keeps them, written to the shared folder."""
+        notes = self.spark.read.parquet(*self.notes).groupBy("h").agg(F.sum("n_docs").alias("more")) if self.notes else None
+        out = None
+        for run in self.runs():
+            if notes is not None:
+                run = run.join(notes.hint("merge"), "h", "left").withColumn("n_docs", F.col("n_docs") + F.coalesce("more", F.lit(0))).drop("more")
+            run = run.where(F.col("n_docs") >= min_docs)
+            out = run if out is None else out.unionByName(run)
+        with self.sorted_scans():
+            return materialize(out, "frequent-lines")
+
+    def close(self) -> None:
+        """Deletes runs and notes."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        for path in self.notes:
+            delete_path(self.spark, path)
+        self.levels, self.notes = [[]], []
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -99,7 +154,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     Lines are what \\n separates; null or empty text is one empty line (null text stays null). A line goes if its key has at
     least min_chars code points and is found in at least min_docs documents, unless its document has the largest doc_id of
     those. Rows of equal doc_id are one document. Rows without a doc_id stay as they are and count for nothing. An empty
-    table gives an empty table. Extra columns pass through; existing n_lines and n_dropped are replaced.
+    table gives an empty table. Extra columns pass through; existing n_lines and n_dropped are replaced. Texts are worked on
+    whole, one at a time.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -115,6 +171,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             part = part.where(F.col("doc_id") > F.lit(below))
         store.add(part)
     often = store.frequent(min_docs).select("h", "keeper", all_salts("salt"))
+    store.close()
     gone = (
         keys.withColumn("salt", salt_of("doc_id"))
         .join(often, ["h", "salt"])
@@ -123,7 +180,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .agg(F.collect_set("h").alias("__gone"))
     )
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    joined = docs.select(*rest).join(gone, F.col("doc_id") == F.col("__gone_id"), "left").drop("__gone_id")
+    # rows without doc_id would meet in one task
+    joined = docs.where("doc_id is not null").select(*rest).join(gone, F.col("doc_id") == F.col("__gone_id"), "left").drop("__gone_id")
+    joined = joined.unionByName(docs.where("doc_id is null").select(*rest, F.lit(None).cast(joined.schema["__gone"].dataType).alias("__gone")))
     at = next(i for i, c in enumerate(joined.columns) if c.lower() == "text")
     names = [*rest, "n_lines", "n_dropped"]
 
