@@ -1,14 +1,17 @@
 """MinHash near-duplicates by a Chosen-Path set similarity join.
 
 A document is its set of distinct word shingles, sketched by 64 minwise values. Documents of equal sets are one from here on.
-In each of several independent trees, a node's documents branch on a few coordinates that the node's path selects: a child
-holds those that share the minwise token there. Nodes of at most `leaf` documents are compared exhaustively: by sketches
-first, then, for documents with a likely partner, on full sets, and only between documents that are not connected yet.
-
-Large groups of near copies never split. Nodes that are still large after the last level and share documents are merged into
-families. A family is first compared, in chunks, with a few of its own documents (hubs), and the components so far are
-computed. Then the documents outside its largest component are compared with all of it, chunk by chunk. No group of copies is
-ever in one task, and none is cut.
+In each of several independent trees, a node's documents branch on a few coordinates that the node's path selects, others at
+each depth: a child holds those that share the minwise token there. Nodes of at most `leaf` documents are compared exhaustively:
+by sketches first, then, for documents with a likely partner, on full sets, and only between documents that are not connected
+yet. Nodes with more go on branching, however deep.
+
+Large groups of near copies never split. So at the second level, and every third one from there, the documents of large nodes
+are first compared, in chunks, with a few of their own (hubs), and the components so far are computed. Nodes that share
+documents count as one family for that. A node within one component is done. A family of a few thousand documents that aren't
+in its largest component, or a node with at most `leaf` of them, has these compared with all of it, chunk by chunk; any other
+node branches on. No group of copies is ever in one task, none is cut, and unlinked documents that share a passage part ways
+level by level.
 """
 
 from __future__ import annotations
@@ -20,14 +23,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, drop_ids, in_filter, materialize, row_groups, salt_of, text_buffers
+from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, broadcast_if_small, drop_ids, in_filter, materialize, row_groups, salt_of, text_buffers
 from larkgrid.llm.components import components
 from larkgrid.llm.tokens import U64, mix64, seeds, shingles, words
 
-SIG, TREES, BRANCH, LEVELS, LEAF, CHUNK, HUBS = 64, 3, 3, 3, 256, 512, 8
+SIG, TREES, BRANCH, LEAF, CHUNK, HUBS = 64, 3, 3, 256, 512, 8
+#: Coordinates that a level selects from; deeper than the sketch has coordinates, what is left is compared in full.
+BLOCK = 4
+#: Pairs of documents of a family that are compared directly at most; below, branching would meet the same pairs more often.
+EXACT = 1 << 22
+#: Shingles of a group that one task compares; larger groups are cut along the shingles' hashes.
+PART_SHINGLES = 1 << 22
 
 
 def minwise(values: np.ndarray, before: np.ndarray, n: int = SIG, seed: int = 3) -> np.ndarray:
@@ -62,31 +71,37 @@ def _sig(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), SIG)
 
 
-def _child(node: np.ndarray, coord: np.ndarray, value: np.ndarray) -> np.ndarray:
+def _child(node: np.ndarray, coord: np.ndarray, value: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """The number of a child; its last two bits are the tree's."""
     with np.errstate(over="ignore"):
-        return mix64(mix64(node + coord.astype(U64) * U64(0x9E3779B97F4A7C15)) ^ (value.astype(U64) * U64(0xFF51AFD7ED558CCD)))
+        h = mix64(mix64(node + coord.astype(U64) * U64(0x9E3779B97F4A7C15)) ^ (value.astype(U64) * U64(0xFF51AFD7ED558CCD)))
+    return (h & ~U64(3)) | tree
 
 
-def branch(members: DataFrame, trees: int, branches: int) -> DataFrame:
-    """(node, rep) of the next level. members: node, rep, sig; without node it is the root of each tree."""
-    rooted = "node" in members.columns
+def coordinates(node: np.ndarray, tree: np.ndarray, depth: int, branches: int) -> Iterator[np.ndarray]:
+    """For each branch the coordinate of each node: of its tree's and depth's block the ones that the node's number selects, all different."""
+    orders = np.stack([np.argsort(mix64(seeds(SIG, 90 + t)), kind="stable") for t in range(4)])
+    block = orders[:, depth * BLOCK : (depth + 1) * BLOCK]
+    first = (mix64(node ^ U64(depth + 1)) % U64(BLOCK)).astype(np.int64)
+    for b in range(branches):
+        yield block[tree.astype(np.int64), (first + b) % BLOCK]
+
+
+def branch(members: DataFrame, trees: int, branches: int, depth: int) -> DataFrame:
+    """(node, rep) of the next level. members: node, rep, sig; at depth 0 without node, each is in the root of each tree (4 at most)."""
     kind = dict(members.dtypes)["rep"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _sig(batch.column(1))
             rows = np.arange(len(sig))
-            for t in range(1 if rooted else trees):
-                node = batch.column(2).to_numpy(zero_copy_only=False).view(U64) if rooted else np.full(len(sig), mix64(np.array([t + 1], U64))[0])
-                seen: list[np.ndarray] = []
-                for b in range(branches):
-                    coord = (mix64(node ^ seeds(branches, 9)[b]) % U64(SIG)).astype(np.int64)
-                    for earlier in seen:  # distinct coordinates
-                        coord = np.where(coord == earlier, (coord + 1 + b) % SIG, coord)
-                    seen.append(coord)
-                    yield pa.RecordBatch.from_arrays([pa.array(_child(node, coord, sig[rows, coord]).view(np.int64)), batch.column(0)], ["node", "rep"])
+            for t in range(1 if depth else trees):
+                node = batch.column(2).to_numpy(zero_copy_only=False).view(U64) if depth else np.full(len(sig), U64(t))
+                tree = node & U64(3)
+                for coord in coordinates(node, tree, depth, branches):
+                    yield pa.RecordBatch.from_arrays([pa.array(_child(node, coord, sig[rows, coord], tree).view(np.int64)), batch.column(0)], ["node", "rep"])
 
-    return members.select("rep", "sig", *(["node"] if rooted else [])).mapInArrow(emit, f"node long, rep {kind}")
+    return members.select("rep", "sig", *(["node"] if depth else [])).mapInArrow(emit, f"node long, rep {kind}")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -116,9 +131,10 @@ def find(parent: np.ndarray, x: int) -> int:
 
 
 def likely(sig: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i of side 0, i < j among side 0, whose sketches and sizes allow the similarity."""
+    """Pairs (i, j), i of side 0, i < j among side 0, whose sketches and sizes allow the similarity. A pair of just that similarity
+    is missed with a probability of less than one in a million."""
     p = percent / 100
-    least = int(SIG * p - 4.3 * sqrt(SIG * p * (1 - p)))
+    least = int(SIG * p - 5.5 * sqrt(SIG * p * (1 - p)))
     own = np.flatnonzero(side == 0)
     found_i, found_j = [], []
     for i in own:
@@ -187,7 +203,7 @@ def shared_counts(sets: list[np.ndarray], which: np.ndarray) -> Iterator[tuple[i
         mark[own] = 0
 
 
-def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, most: int = PART_SHINGLES) -> DataFrame:
     """Edges (a, b) that connect, within each part, what links on full sets connect."""
     kind = dict(parts.dtypes)["rep"]
     parts = materialize(parts, "parts", narrow=True)
@@ -245,32 +261,95 @@ def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(a, group.column("rep").type), pa.array(b, group.column("rep").type)], ["a", "b"])
 
     sent = parts.join(full, "rep").select("gid", "rep", "side", "n", "sig", "values")
-    return sent.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(link, f"a {kind}, b {kind}").distinct()
-
-
-def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: int = TREES, branches: int = BRANCH, levels: int = LEVELS, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between representatives whose components are those of all links (each link is met with a probability of
-    over 0.999 at these settings)."""
-    nodes, groups, large = branch(reps, trees, branches), [], None
-    for level in range(levels):
+    sizes = parts.join(needed.select("rep", "n"), "rep").groupBy("gid").agg(F.sum("n").alias("size")).where(F.col("size") > most)
+    heavy = materialize(sizes.select("gid", F.ceil(F.col("size") / most).cast("int").alias("slices")), "heavy", narrow=True)
+    if heavy.isEmpty():
+        return sent.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(link, f"a {kind}, b {kind}").distinct()
+    sent = materialize(sent, "sets")
+    light = sent.join(broadcast_if_small(heavy), "gid", "left_anti")
+    found = light.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(link, f"a {kind}, b {kind}")
+    return found.union(linked_by_slices(sent.join(broadcast_if_small(heavy), "gid"), kind, percent)).distinct()
+
+
+def linked_by_slices(sent: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Edges (a, b) of all links in groups whose sets are too large for one task: each slice of the hashes' range counts what likely
+    pairs share there, and the counts are summed. sent: gid, rep, side, n, sig, values, slices."""
+    names = ["slice", "gid", "rep", "side", "n", "sig", "values"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                gid, values, slices = batch.column(0)[r].as_py(), np.frombuffer(batch.column(5)[r].as_py(), U64), batch.column(6)[r].as_py()
+                bounds = [0, *np.searchsorted(values, np.array([(i << 64) // slices for i in range(1, slices)], U64)).tolist(), len(values)]
+                keys = pa.array([xxhash.xxh3_64_intdigest(f"{gid},{i}".encode()) - (1 << 63) for i in range(slices)])
+                same = pa.array(np.zeros(slices, np.int64))
+                pieces = pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, *[batch.column(c).slice(r, 1).take(same) for c in range(5)], pieces], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches):
+            n, side = group.column("n").to_numpy(), group.column("side").to_numpy()
+            i, j = likely(_sig(group.column("sig")), n, side, percent)
+            sets = [np.frombuffer(x.as_py(), U64) for x in group.column("values")]
+            filled = np.flatnonzero([len(x) > 0 for x in sets])
+            place = np.full(len(sets), -1)
+            place[filled] = np.arange(len(filled))
+            common = np.zeros(len(i), np.int64)
+            mine = np.unique(i[place[i] >= 0])
+            for a, shared in shared_counts([sets[x] for x in filled], place[mine]) if len(mine) else ():
+                at = np.flatnonzero(i == filled[a])
+                at = at[place[j[at]] >= 0]
+                common[at] = shared[place[j[at]]]
+            rep = group.column("rep").combine_chunks()
+            gid = group.column("gid").combine_chunks().take(pa.array(i))
+            yield pa.RecordBatch.from_arrays([gid, rep.take(pa.array(i)), rep.take(pa.array(j)), pa.array(common), pa.array(n[i] + n[j])], ["gid", "a", "b", "common", "both"])
+
+    sliced = sent.select("gid", "rep", "side", "n", "sig", "values", "slices").mapInArrow(cut, f"slice long, gid long, rep {kind}, side int, n long, sig binary, values binary")
+    counted = sliced.repartition("slice").sortWithinPartitions("slice", "rep").mapInArrow(count, f"gid long, a {kind}, b {kind}, common long, both long")
+    total = counted.groupBy("gid", "a", "b").agg(F.sum("common").alias("common"), F.max("both").alias("both"))
+    return total.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
+
+
+
+
+def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: int = TREES, branches: int = BRANCH, leaf: int = LEAF, chunk: int = CHUNK, exact: int = EXACT, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Edges (a, b) between representatives whose components are those of all links.
+
+    A link of similarity p stays together in a child with probability p. With three branches at the root and two below, at any
+    depth, one tree parts it from all its common leaves with a probability of 0.6 % at 0.85 (1.7 % at 0.8), three trees with
+    less than one in 200 000.
+    """
+    nodes, groups, edges, comps = branch(reps, trees, branches, 0), [], None, None
+    for depth in range(SIG // BLOCK):
         nodes = materialize(nodes, "nodes", narrow=True)
         # narrow rows; where a node holds a large share of them, adaptive execution splits the join
         nodes = materialize(nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "node"), "nodes", narrow=True)
         groups.append(nodes.where(F.col("m") <= leaf).select(F.col("node").alias("gid"), "rep", F.lit(0).alias("side")))
-        large = nodes.where(F.col("m") > leaf).select("node", "rep")
+        large = nodes.where(F.col("m") > leaf)
+        last = depth == SIG // BLOCK - 1
         if large.isEmpty():
-            large = None
             break
-        if level < levels - 1:
-            nodes = branch(large.join(reps.select("rep", "sig"), "rep"), trees, 2)
-    edges = None
-    if large is not None:
-        edges, split = families(large, docs, reps, k, percent, chunk)
-        groups.append(split)
+        if depth % 3 == 1:
+            of_node, members = families(large.select("node", "rep"))
+            more = hub_edges(members, docs, reps, k, percent, chunk, part_shingles)
+            edges = more if edges is None else materialize(edges.union(more).distinct(), "links", narrow=True)
+            comps = components(edges)
+            ready, rest = outside(members, comps, chunk, F.col("o") * F.col("m") <= exact)
+            groups.append(ready)
+            on = of_node.join(rest.select(F.col("node").alias("c")).distinct(), "c").select(F.col("v").alias("node"))
+            large = materialize(large.join(on, "node"), "nodes", narrow=True)
+            if large.isEmpty():
+                break
+        if comps is not None:
+            ready, large = outside(large, comps, chunk, F.lit(True) if last else F.col("o") <= leaf)
+            groups.append(ready)
+            if last or large.isEmpty():
+                break
+        nodes = branch(large.select("node", "rep").join(reps.select("rep", "sig"), "rep"), trees, 2, depth + 1)
     together = groups[0]
     for g in groups[1:]:
         together = together.unionByName(g)
-    found = verify(candidates(together, reps, percent), docs, reps, k, percent)
+    found = verify(candidates(together, reps, percent), docs, reps, k, percent, part_shingles)
     return materialize(found if edges is None else edges.union(found), "links", narrow=True)
 
 
@@ -282,33 +361,40 @@ def on_node(members: DataFrame, facts: DataFrame, label: str) -> DataFrame:
     return members.withColumn("salt", salt_of("rep")).join(facts.select("*", all_salts("salt")), ["node", "salt"]).drop("salt")
 
 
-def families(large: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """For nodes (node, rep) that don't split: edges found with hubs, and groups (gid, rep, side) that compare the rest exactly.
-
-    Nodes of one family hold much the same documents, once for each tree and coordinate; so nodes that share a document are one
-    from here on, and its documents are compared once.
-    """
+def families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The family c of each node v, and the families' members (node, rep, m). Nodes of near copies hold much the same documents, once
+    for each tree and coordinate; nodes that share a document are of one family."""
     first = large.groupBy("rep").agg(F.min("node").alias("b"))
     of_node = components(large.join(first, "rep").select(F.col("node").alias("a"), "b").distinct())
     members = materialize(on_node(large, of_node.select(F.col("v").alias("node"), "c"), "names").select(F.col("c").alias("node"), "rep").distinct(), "members", narrow=True)
-    members = materialize(on_node(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "sizes"), "families", narrow=True)
+    return of_node, materialize(on_node(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "sizes"), "families", narrow=True)
+
+
+def hub_edges(members: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, chunk: int, part_shingles: int) -> DataFrame:
+    """Links of the documents of families (node, rep, m) with a few hubs of their own."""
     chunks = F.ceil(F.col("m") / chunk)
     hubs = members.groupBy("node", F.pmod(F.xxhash64("rep", "node"), F.lit(HUBS)).alias("cell")).agg(F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("h"), F.max("m").alias("m"))
     hubs = hubs.select("node", F.col("h.rep").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).alias("side"))
     rest = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select("node", "rep", "chunk", F.lit(1).alias("side"))
     around = hubs.unionByName(rest).groupBy(F.xxhash64("node", "chunk").alias("gid"), "rep").agg(F.min("side").alias("side"))
-    edges = materialize(verify(candidates(around, reps, percent), docs, reps, k, percent), "links", narrow=True)
-    # what is not within one component yet: the documents outside a family's largest component against all of it
-    comps = components(edges)
-    labelled = materialize(members.join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "labelled", narrow=True)
+    return materialize(verify(candidates(around, reps, percent), docs, reps, k, percent, part_shingles), "links", narrow=True)
+
+
+def outside(large: DataFrame, comps: DataFrame, chunk: int, ready: Column) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (node, rep, m) with members of several components: groups (gid, rep, side) that compare those outside the largest
+    component with all, in nodes that are ready (by m and o, the number outside); and the other nodes."""
+    labelled = materialize(large.join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "labelled", narrow=True)
     by_comp = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
     state = by_comp.groupBy("node").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("top.n").alias("top_n"), F.col("top.c").alias("top_c"))
     open_ = on_node(labelled, state, "states")
-    few_chunks = F.ceil((F.col("m") - F.col("top_n")) / chunk)
-    split = materialize(open_.withColumns({"few": few_chunks, "all": chunks, "i": F.pmod(F.xxhash64("rep", "node"), few_chunks), "j": F.pmod(F.xxhash64("rep"), chunks)}), "split", narrow=True)
-    outside = split.where("c <> top_c").select("node", "rep", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
-    every = split.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), "j", F.lit(1).alias("side"))
-    return edges, outside.unionByName(every).groupBy(F.xxhash64("node", "i", "j").alias("gid"), "rep").agg(F.min("side").alias("side"))
+    few = F.col("m") - F.col("top_n")
+    chunks, few_chunks = F.ceil(F.col("m") / chunk), F.ceil(few / chunk)
+    split = materialize(open_.withColumns({"o": few, "few": few_chunks, "all": chunks, "i": F.pmod(F.xxhash64("rep", "node"), few_chunks), "j": F.pmod(F.xxhash64("rep"), chunks)}), "split", narrow=True)
+    done = split.where(ready)
+    own = done.where("c <> top_c").select("node", "rep", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
+    every = done.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), "j", F.lit(1).alias("side"))
+    groups = own.unionByName(every).groupBy(F.xxhash64("node", "i", "j").alias("gid"), "rep").agg(F.min("side").alias("side"))
+    return groups, split.where(~ready).select("node", "rep", "m")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -317,7 +403,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -
     Documents are linked whose shingle sets have 100 * intersection >= percent * union. Words are what ASCII white space
     separates, A-Z lower-cased. A text of fewer than k words is one shingle; without words, or null, it has none and is linked
     with nothing. component_id is the smallest doc_id reachable; kept marks it. Rows of equal doc_id are one vertex. Rows
-    without doc_id are linked with nothing, have a null component_id and are kept. Empty tables give an empty table.
+    without doc_id are linked with nothing, have a null component_id and are kept. Empty tables give an empty table. Texts are
+    worked on whole; columns but doc_id and text are not read.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")

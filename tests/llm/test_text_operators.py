@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkgrid.llm import chosen_path, components, decontaminate, line_dedup, omh
+from larkgrid.llm import chosen_path, common, components, decontaminate, line_dedup, omh
 from larkgrid.llm.tokens import shingles, words
 
 DOCS = "doc_id long, text string, source string, TEXT2 string, n_lines string, c string"
@@ -61,6 +61,44 @@ def test_line_dedup_levels_compact_and_extra_columns_stay(spark):
     for lo in (8, 4, 0):
         store.add(make(spark, [(b"k", i) for i in range(lo, lo + 4)], "h binary, doc_id long"))
     assert [len(x) for x in store.levels] == [1, 1] and store.frequent(5).collect() == [(b"k", 12, 11)]
+    store.close()
+
+
+def test_line_runs_hold_a_key_once_and_are_met_without_exchanges(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"{rng.randrange(300):03d}".encode(), i) for i in range(1000) for _ in range(2)]
+    batches = [make(spark, [r for r in rows if lo <= r[1] < lo + 125], "h binary, doc_id long") for lo in range(875, -1, -125)]
+    store = line_dedup.LineRuns(spark, fanout=2)
+    for b in batches[:7]:
+        store.add(b)
+    assert [len(x) for x in store.levels] == [1, 1, 1]
+    held = [r.h for run in store.runs() for r in run.collect()]
+    assert len(held) == len(set(held))
+    own = batches[7].groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with store.sorted_scans():
+            new = store.unknown(own)[0]
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            alone = own._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == alone.count("Exchange")
+    assert plan.count("Sort [") == 1  # of the batch
+    store.add(batches[7])
+    docs = {}
+    for h, i in rows:
+        docs.setdefault(h, set()).add(i)
+    expect = sorted((h, len(d), max(d)) for h, d in docs.items() if len(d) >= 5)
+    assert sorted(tuple(r) for r in store.frequent(5).collect()) == expect
+    store.close()
+    # without the anti-join, keys stand in several runs, each with a keeper of its own
+    monkeypatch.setattr(line_dedup.LineRuns, "unknown", lambda self, own: (own, own.limit(0).select("h", "n_docs")))
+    broken = line_dedup.LineRuns(spark, fanout=9)
+    for b in batches:
+        broken.add(b)
+    assert sorted(tuple(r) for r in broken.frequent(5).collect()) != expect
+    broken.close()
 
 
 @pytest.mark.parametrize("run", [line_dedup.dedup_lines, chosen_path.near_duplicates, omh.edited_neighbours, omh.fingerprints, lambda d: decontaminate.find_leaks(d, d.withColumnRenamed("doc_id", "item_id"))])
@@ -133,8 +171,39 @@ def test_large_groups_of_near_copies_are_whole(spark):
     vocab = [f"w{i}" for i in range(3000)]
     rows = list(enumerate(family(rng, vocab, 150, 4) + family(rng, vocab, 40, 2) + [" ".join(rng.choices(vocab, k=60)) for _ in range(40)]))
     docs = make(spark, rows)
-    got = chosen_path.near_duplicates(docs, 3, 85, leaf=16, chunk=32).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_components(rows, 3, 85)
+    for options in ({"leaf": 64, "chunk": 32, "exact": 0}, {"leaf": 16, "chunk": 32, "part_shingles": 500}):
+        got = chosen_path.near_duplicates(docs, 3, 85, **options).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_components(rows, 3, 85)
+
+
+def test_unlinked_documents_with_a_template_part_ways(spark, monkeypatch):
+    """Nodes branch until they are small: no pairs by the square, and the few links among them are found."""
+    rng = random.Random(14)
+    vocab = [f"w{i}" for i in range(5000)]
+    template = rng.choices(vocab, k=60)
+    own = [rng.choices(vocab, k=60) for _ in range(1500)]
+    pairs = [family(rng, vocab, 2, 3, 60) for _ in range(0)] + [[" ".join(template + x), " ".join(template + x[:58] + ["changed", "end"])] for x in (rng.choices(vocab, k=60) for _ in range(40))]
+    rows = list(enumerate([" ".join(template + x) for x in own] + [t for p in pairs for t in p]))
+    compared = spark.sparkContext.accumulator(0)
+    whole = chosen_path.likely
+
+    def counted(sig, n, side, percent):
+        compared.add(int((side == 0).sum()) * len(n))
+        return whole(sig, n, side, percent)
+
+    monkeypatch.setattr(chosen_path, "likely", counted)
+    got = chosen_path.near_duplicates(make(spark, rows), 3, 85, leaf=128, exact=0).collect()
+    assert {(r.component_id, r.doc_id) for r in got if not r.kept} == {(1500 + 2 * i, 1501 + 2 * i) for i in range(40)}
+    assert compared.value < len(rows) * np.log2(len(rows)) * 128
+
+
+def test_bit_filter_knows_every_hash(spark):
+    rows = [(int(x),) for x in np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)] + [(0,), (-1,), (65535,), (65536,)]
+    for bits in (1 << 16, 1 << 20):
+        table = common.bit_filter(make(spark, rows, "h long"), "h", bits)
+        values = np.array([r[0] for r in rows]).view(np.uint64)
+        assert len(table) * 32 == bits and len(common.in_filter(table, values)) == len(rows)
+        assert sum(int(x).bit_count() for x in table) == len({int(v) % bits for v in values})
 
 
 def test_near_duplicates_of_null_and_repeated_ids(spark):
