@@ -70,6 +70,18 @@ def crop_to_multiple(low: Column, high: Column, multiple: int) -> tuple[Column,
     return start.cast("int"), (start + size).cast("int")
 
 
+def scaled_crop(low: Column, high: Column, source: Column, target: Column, multiple: int = 2) -> tuple[Column, Column]:
+    """One side of a crop of a source frame in a frame of another size: rounded inwards to whole pixels and a multiple, centred."""
+    scale = target / source
+    return crop_to_multiple(F.ceil(low * scale), F.floor(high * scale), multiple)
+
+
+def intrinsics_matrix(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
+    """Three rows of three."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(F.array(fx, zero, cx), F.array(zero, fy, cy), F.array(zero, zero, one))
+
+
 def hms_seconds(text: Column) -> Column:
     """H:M:S, M:S or S to seconds, null where a part doesn't parse."""
     parts = F.split(F.trim(text), ":")

@@ -122,7 +122,8 @@ def ground_plane(df: DataFrame, share: float = 0.01, hypotheses: int = 400, seed
     sample = df.select("x", "y", "z").orderBy(F.xxhash64("x", "y", "z", F.lit(seed)), "x", "y", "z").limit(2000).toPandas().to_numpy(float)
     if len(sample) < 3:
         return None
-    limit = share * float((sample.max(0) - sample.min(0)).max())
+    box = df.agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
+    limit = share * float(max(box))
     rng, planes = np.random.default_rng(seed), []
     for _ in range(hypotheses):
         p = sample[rng.choice(len(sample), 3, replace=False)]

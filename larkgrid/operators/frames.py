@@ -43,25 +43,24 @@ def wall_views(df: DataFrame, by: list[str], depth: str, prior: str, least_prior
     return s.withColumn("wall", (F.col("prior_spread") > least_prior) & (F.col("spread") < share * F.col("prior_spread")))
 
 
-def flatten(df: DataFrame, keys: list[str], column: str, longest: int = 6) -> DataFrame:
-    """(keys, path, value) for each leaf of a variant; lists longer than `longest` are summed up as their length. Level by level."""
-    def kind(v: Column) -> Column:
-        return F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1)
-
-    level = df.select(*keys, F.lit("").alias("path"), F.col(column).alias("v"))
-    out = None
-    for _ in range(8):
-        typed = level.withColumn("k", kind(F.col("v")))
-        items = F.try_variant_get("v", "$", "array<variant>")
-        summary = F.concat(F.lit("["), F.size(items).cast("string"), F.lit(" items]"))
-        leaf = typed.where(~F.col("k").isin("OBJECT", "ARRAY") | ((F.col("k") == "ARRAY") & (F.size(items) > longest)))
-        leaf = leaf.select(*keys, "path", F.when(F.col("k") == "ARRAY", summary).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
+def flatten(df: DataFrame, keys: list[str], column: str, checkpoint, longest: int = 6) -> DataFrame:
+    """(keys, path, value) for each leaf of a variant; lists longer than `longest` are summed up as their length. Level by level, until
+    no row goes deeper; checkpoint(DataFrame, name) writes and rereads a level, so plans stay short however deep the data are."""
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^([A-Z]+)", 1)
+    items = F.try_variant_get("v", "$", "array<variant>")
+    listed = F.transform(items, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+    inner = F.when(F.col("k") == "OBJECT", F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).when((F.col("k") == "ARRAY") & (F.size(items) <= longest), listed)
+    text = F.when(F.col("k") == "ARRAY", F.concat(F.lit("["), F.size(items).cast("string"), F.lit(" items]"))).otherwise(F.try_variant_get("v", "$", "string"))
+    level, out = df.select(*keys, F.lit("").alias("path"), F.col(column).alias("v")), None
+    while True:
+        level = checkpoint(level, "leaves")
+        typed = level.withColumn("k", kind).withColumn("inner", inner)
+        leaf = typed.where(F.col("inner").isNull()).select(*keys, "path", text.alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
-        join = lambda n: F.concat(F.col("path"), F.when(F.col("path") == "", "").otherwise("."), n)
-        maps = typed.where("k = 'OBJECT'").select(*keys, "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("n", "v")).select(*keys, join(F.col("n")).alias("path"), "v")
-        lists = typed.where((F.col("k") == "ARRAY") & (F.size(items) <= longest)).select(*keys, "path", F.posexplode(items).alias("n", "v")).select(*keys, join(F.col("n").cast("string")).alias("path"), "v")
-        level = maps.unionByName(lists)
-    return out
+        below = typed.where(F.size("inner") > 0).select(*keys, "path", F.explode("inner").alias("e"))
+        if below.isEmpty():
+            return out
+        level = below.select(*keys, F.concat(F.col("path"), F.when(F.col("path") == "", "").otherwise("."), F.col("e.key")).alias("path"), F.col("e.value").alias("v"))
 
 
 def fuse_depth(df: DataFrame, by: list[str], depth: str, weight: str, tolerance: float = 0.05, least: int = 2) -> DataFrame:

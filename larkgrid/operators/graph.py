@@ -32,16 +32,22 @@ def keep_large(edges: DataFrame, faces: DataFrame, face: str, least: int, share:
     return named.join(big, "component")
 
 
-def descend(tree: DataFrame, roots: list, child: str = "pid", parent: str = "ppid", most: int = 64) -> DataFrame:
-    """The roots' transitive children with their depth, level by level."""
-    level = tree.where(F.col(child).isin(roots)).select(child, F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, most):
-        level = tree.join(level.select(F.col(child).alias("__p")), F.col(parent) == F.col("__p")).select(child, F.lit(d).alias("depth"))
-        if level.isEmpty():
+def descend(tree: DataFrame, roots: list, checkpoint, child: str = "pid", parent: str = "ppid") -> DataFrame:
+    """(child, depth): the roots' transitive children and how far below the nearest root they are. Each row of the tree has one parent.
+
+    Every row looks at an ancestor, and each round at that one's ancestor, so a tree of any depth takes as many rounds as its depth
+    has binary digits; rows in loops or below no root never arrive. checkpoint(DataFrame, name) writes and rereads a round.
+    """
+    depth = F.when(F.col(child).isin(roots), F.lit(0).cast("long"))
+    state = checkpoint(tree.select(F.col(child).alias("v"), F.col(parent).alias("up"), F.lit(1).cast("long").alias("far"), depth.alias("depth")), "descent")
+    for _ in range(state.count().bit_length() + 1):
+        above = state.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("depth").alias("depth2"))
+        moved = state.where("depth is null").join(above, "up")  # an ancestor that isn't there leads nowhere
+        moved = moved.select("v", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("far") + F.col("depth2")).alias("depth"))
+        state = checkpoint(state.where("depth is not null").unionByName(moved), "descent")
+        if state.where("depth is null").isEmpty():
             break
-        out = out.unionByName(level)
-    return out.groupBy(child).agg(F.min("depth").alias("depth"))
+    return state.where("depth is not null").select(F.col("v").alias(child), F.col("depth").cast("int").alias("depth"))
 
 
 def spanning_forest(models: list[tuple[str, int]], edges: list[tuple[str, str, int, Similarity]]) -> dict[str, tuple[str, Similarity]]:

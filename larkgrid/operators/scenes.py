@@ -80,8 +80,8 @@ def area_sample(df: DataFrame, key: list[str], area: str, most: int, seed: str)
 
 
 def last_write(df: DataFrame, cell: list[str], ordinal: str, keep: list[str]) -> DataFrame:
-    """Of the rows of a pixel the one written last."""
-    return df.groupBy(*cell).agg(F.max_by(F.struct(*keep), ordinal).alias("__b")).select(*cell, *[F.col("__b")[c].alias(c) for c in keep])
+    """Of the rows of a pixel the one written last; of equal ordinals the one with the greatest values of `keep`."""
+    return df.groupBy(*cell).agg(F.max_by(F.struct(*keep), F.struct(ordinal, *keep)).alias("__b")).select(*cell, *[F.col("__b")[c].alias(c) for c in keep])
 
 
 def bilinear(samples: DataFrame, pixels: DataFrame, u: str, v: str, value: str) -> DataFrame:

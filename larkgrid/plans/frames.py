@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.operators import frames, select
+from larkgrid.operators import frames, models, select
 from larkgrid.plans.common import CLOUD, LOG, cloud, flight_log, table
 
 
@@ -159,20 +159,22 @@ def depth_table(spark: SparkSession, d: str) -> DataFrame:
     """Per model: counts, medians and means of aligned rows, null where none is."""
     o = table(spark, d, "orders")
     ok = F.col("o_orderstatus") != "P"
-    price = F.col("o_totalprice") / 700
-    return o.groupBy((F.col("o_custkey") % 200).alias("model")).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("aligned"), F.round(F.median(F.when(ok, price)), 4).alias("median_error"), F.round(F.avg(F.when(ok, price)), 4).alias("mean_error"), F.round(F.avg((F.when(ok, price) < 150).cast("double")), 4).alias("share_good"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")  # whole numbers, so that sums don't depend on their order
+    out = models.depth_quality(o.withColumn("model", F.col("o_custkey") % 200), ["model"], ok, cents, cents < 10_500_000)
+    return out.withColumns({"median_error": F.col("median_error") / 70_000, "mean_error": F.col("mean_error") / 70_000, "share_good": F.round("share_good", 4)})
 
 
 DEPTH_TABLE = """
-SELECT o_custkey % 200 AS model, count(*) AS n, count(*) FILTER (o_orderstatus <> 'P') AS aligned, round(median(o_totalprice / 700) FILTER (o_orderstatus <> 'P'), 4) AS median_error,
-  round(avg(o_totalprice / 700) FILTER (o_orderstatus <> 'P'), 4) AS mean_error, round(avg((o_totalprice / 700 < 150)::INT::DOUBLE) FILTER (o_orderstatus <> 'P'), 4) AS share_good FROM orders GROUP BY 1
+WITH c AS (SELECT o_custkey % 200 AS model, o_orderstatus <> 'P' AS ok, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
+SELECT model, count(*) AS n, count(*) FILTER (ok) AS aligned, median(cents) FILTER (ok) / 70000 AS median_error,
+  (sum(cents) FILTER (ok))::DOUBLE / count(*) FILTER (ok) / 70000 AS mean_error, round(avg((cents < 10500000)::INT::DOUBLE) FILTER (ok), 4) AS share_good FROM c GROUP BY 1
 """
 
 
 def pass_counts(spark: SparkSession, d: str) -> DataFrame:
     """Posed images per model and pass folder."""
     o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("model"), F.concat(F.lit("pass_"), F.lpad((F.col("o_orderkey") % 7).cast("string"), 2, "0"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("name"))
-    return o.groupBy("model", F.split("name", "/")[0].alias("pass")).agg(F.count(F.lit(1)).alias("images"))
+    return models.pass_counts(o, "model", "name")
 
 
 PASS_COUNTS = "SELECT o_custkey % 50 AS model, 'pass_' || lpad((o_orderkey % 7)::VARCHAR, 2, '0') AS pass, count(*) AS images FROM orders GROUP BY 1, 2"
@@ -180,7 +182,7 @@ PASS_COUNTS = "SELECT o_custkey % 50 AS model, 'pass_' || lpad((o_orderkey % 7):
 
 def reprojection_mean(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "lineitem")
-    return i.groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_discount") * F.col("l_linenumber")) / F.nullif(F.sum("l_linenumber"), F.lit(0)), 5).alias("mean_error"), F.round(F.avg(F.when(F.col("l_tax") > 0, F.col("l_tax"))), 5).alias("overlap"))
+    return i.groupBy("l_suppkey").agg(F.round(models.weighted_mean(F.col("l_discount"), F.col("l_linenumber")), 5).alias("mean_error"), F.round(F.avg(F.when(F.col("l_tax") > 0, F.col("l_tax"))), 5).alias("overlap"))
 
 
 REPROJECTION = "SELECT l_suppkey, round(sum(l_discount * l_linenumber) / nullif(sum(l_linenumber), 0), 5) AS mean_error, round(avg(l_tax) FILTER (l_tax > 0), 5) AS overlap FROM lineitem GROUP BY l_suppkey"
@@ -188,11 +190,9 @@ REPROJECTION = "SELECT l_suppkey, round(sum(l_discount * l_linenumber) / nullif(
 
 def gps_models(spark: SparkSession, d: str) -> DataFrame:
     """Posed images with a position, of models that have enough of them."""
-    from pyspark.sql import Window
-
     o, c = table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal > 0")
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    return joined.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("c_nationkey"))).where("n >= 500").select("o_orderkey", "c_nationkey")
+    return models.with_enough(joined, ["c_nationkey"], 500).select("o_orderkey", "c_nationkey")
 
 
 GPS_MODELS = """
@@ -217,8 +217,7 @@ SELECT round(sum(s) / sum(video), 6) AS ratio, count(*) FILTER (s <= 1.5 * video
 def display_names(spark: SparkSession, d: str) -> DataFrame:
     """The first keyword's label, else the name up to its first separator."""
     p = table(spark, d, "part")
-    low = F.lower("p_type")
-    name = F.coalesce(F.when(low.contains("steel"), "Steel").when(low.contains("brass"), "Brass").when(low.contains("copper"), "Copper"), F.substring(F.trim(F.split("p_type", r"[ _-]+")[0]), 1, 26))
+    name = models.display_name(F.col("p_type"), {"steel": "Steel", "brass": "Brass", "copper": "Copper"})
     return p.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkgrid.plans import frames, links, points, scenes, series
+from larkgrid.plans import basics, frames, links, models, points, scenes, series
 
 FLAGSHIP = "telemetry_summary"
-MODULES = (series, points, links, frames, scenes)
+MODULES = (series, points, links, frames, scenes, models, basics)
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.operators import scenes
+from larkgrid.operators import models, scenes
 from larkgrid.plans.common import CLOUD, cloud, table
 
 
@@ -70,11 +70,10 @@ SELECT colour, round(least(sum(a) / sum(n), count(*) FILTER (a > 0) / count(*)),
 
 def frame_depth_join(spark: SparkSession, d: str) -> DataFrame:
     """Frames and depth previews by file stem."""
-    stem = lambda c: F.regexp_extract(c, r"([^/]+)\.[^./]+$", 1)
     o = table(spark, d, "orders")
-    frames = o.select("o_orderkey", F.concat(F.lit("photos/f_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("f")).withColumn("stem", stem("f"))
-    depth = o.where("o_orderstatus = 'F'").select(F.concat(F.lit("depth/f_"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("depth")).withColumn("stem", stem("depth"))
-    return frames.join(depth, "stem", "left").select("stem", "o_orderkey", "depth")
+    frames = o.select("o_orderkey", F.concat(F.lit("photos/f_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("f"))
+    depth = o.where("o_orderstatus = 'F'").select(F.concat(F.lit("depth/f_"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("depth"))
+    return models.stem_join(frames, "f", depth, "depth").select("stem", "o_orderkey", "depth")
 
 
 FRAME_DEPTH = "SELECT 'f_' || o_orderkey AS stem, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'depth/f_' || o_orderkey || '.png' END AS depth FROM orders"
@@ -117,10 +116,10 @@ ORDER BY -ln((('0x' || substr(md5('a|' || p_partkey), 1, 12))::BIGINT::DOUBLE +
 
 def tie_raster(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d).withColumns({"u": F.floor("x").cast("int"), "v": F.floor("y").cast("int")})
-    return scenes.last_write(c, ["solid", "u", "v"], "pid", ["pid"])
+    return scenes.last_write(c, ["solid", "u", "v"], "pid", ["pid", "colour"])
 
 
-TIE_RASTER = f"WITH {CLOUD} SELECT solid, floor(x)::INT AS u, floor(y)::INT AS v, max(pid) AS pid FROM cloud GROUP BY ALL"
+TIE_RASTER = f"WITH {CLOUD} SELECT solid, floor(x)::INT AS u, floor(y)::INT AS v, max(pid) AS pid, arg_max(colour, (pid, colour)) AS colour FROM cloud GROUP BY ALL"
 
 
 def bilinear_samples(spark: SparkSession, d: str) -> DataFrame:

@@ -145,7 +145,7 @@ def test_graph(spark):
     got = graph.keep_large(edges, faces, "fid", 3, 0.1, keep).collect()
     assert sorted((r.fid, r.component, r.faces) for r in got) == [(i, 0, 10) for i in range(10)]
     tree = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "pid long, ppid long")
-    assert sorted(tuple(r) for r in graph.descend(tree, [2]).collect()) == [(2, 0), (3, 1), (4, 2)]
+    assert sorted(tuple(r) for r in graph.descend(tree, [2], lambda d, n: d.cache()).collect()) == [(2, 0), (3, 1), (4, 2)]
     t = lambda x: Similarity(1.0, np.eye(3), np.array([x, 0.0, 0.0]))
     forest = graph.spanning_forest([("a", 5), ("b", 9), ("c", 1), ("d", 2)], [("a", "b", 400, t(1)), ("b", "c", 300, t(10)), ("a", "c", 20, t(99))])
     assert {m: (r, s.t[0]) for m, (r, s) in forest.items()} == {"b": ("b", 0.0), "a": ("b", -1.0), "c": ("b", 10.0), "d": ("d", 0.0)}
@@ -174,7 +174,7 @@ def test_frames(spark):
         assert got == expect
     snapped = frames.snap_distinct(spark.createDataFrame([("a", 1.0, [0.0, 2.0, 9.0]), ("a", 1.2, [0.0, 2.0, 9.0]), ("a", 1.9, [0.0, 2.0, 9.0])], "g string, t double, grid array<double>"), ["g"], "t", "grid")
     assert [r.snapped for r in snapped.orderBy("t").collect()] == [0.0, 2.0, 9.0]
-    flat = frames.flatten(spark.createDataFrame([(1, '{"a": {"b": 1, "c": [1, {"d": "x"}]}, "l": [1,2,3,4,5,6,7], "n": null}')], "id int, j string").withColumn("v", F.parse_json("j")), ["id"], "v")
+    flat = frames.flatten(spark.createDataFrame([(1, '{"a": {"b": 1, "c": [1, {"d": "x"}]}, "l": [1,2,3,4,5,6,7], "n": null}')], "id int, j string").withColumn("v", F.parse_json("j")), ["id"], "v", lambda d, n: d.cache())
     assert sorted((r.path, r.value) for r in flat.collect()) == [("a.b", "1"), ("a.c.0", "1"), ("a.c.1.d", "x"), ("l", "[7 items]"), ("n", None)]
 
 
