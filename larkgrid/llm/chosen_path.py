@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, broadcast_if_small, drop_ids, in_filter, materialize, row_groups, salt_of, text_buffers
+from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, broadcast_if_small, drop_ids, in_filter, materialize, released, row_groups, salt_of, text_buffers
 from larkgrid.llm.components import components
 from larkgrid.llm.tokens import U64, mix64, seeds, shingles, words
 
@@ -34,7 +34,7 @@ SIG, TREES, BRANCH, LEAF, CHUNK, HUBS = 64, 3, 3, 256, 512, 8
 #: Coordinates that a level selects from; deeper than the sketch has coordinates, what is left is compared in full.
 BLOCK = 4
 #: Pairs of documents of a family that are compared directly at most; below, branching would meet the same pairs more often.
-EXACT = 1 << 22
+EXACT = 1 << 26
 #: Shingles of a group that one task compares; larger groups are cut along the shingles' hashes.
 PART_SHINGLES = 1 << 22
 
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 keys = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in zip(before[:-1], before[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(before)), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "n", "key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(released(emit), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key binary, sig binary")
 
 
 def _sig(column: pa.Array) -> np.ndarray:
@@ -101,7 +101,7 @@ def branch(members: DataFrame, trees: int, branches: int, depth: int) -> DataFra
                 for coord in coordinates(node, tree, depth, branches):
                     yield pa.RecordBatch.from_arrays([pa.array(_child(node, coord, sig[rows, coord], tree).view(np.int64)), batch.column(0)], ["node", "rep"])
 
-    return members.select("rep", "sig", *(["node"] if depth else [])).mapInArrow(emit, f"node long, rep {kind}")
+    return members.select("rep", "sig", *(["node"] if depth else [])).mapInArrow(released(emit), f"node long, rep {kind}")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -147,27 +147,34 @@ def likely(sig: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> tu
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, int), np.zeros(0, int))
 
 
-def candidates(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(gid, rep, side): from groups (gid, rep, side), the parts that likely pairs connect; equal parts of several groups are one."""
+def candidates(groups: DataFrame, reps: DataFrame, percent: int, comps: DataFrame | None = None) -> DataFrame:
+    """(gid, rep, side, c): from groups (gid, rep, side), the parts that likely pairs of different components connect; equal parts of
+    several groups are one. comps (v, c) are the components so far; without them each document is its own."""
     kind = dict(groups.dtypes)["rep"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in grouped(batches):
             if group.num_rows > 1:
-                sig, n, side, rep = _sig(group.column("sig")), *(group.column(c).to_numpy() for c in ("n", "side")), group.column("rep").to_pylist()
-                i, j = likely(sig, n, side, percent)
+                n, side = (group.column(c).to_numpy() for c in ("n", "side"))
+                rep, comp = group.column("rep").to_pylist(), pd.factorize(group.column("c").to_pandas())[0]
+                if comp.max() == 0:
+                    continue
+                i, j = likely(_sig(group.column("sig")), n, side, percent)
+                apart = comp[i] != comp[j]
+                i, j = i[apart], j[apart]
                 parent = np.arange(len(n))
                 for a, b in zip(i.tolist(), j.tolist()):
                     parent[find(parent, a)] = find(parent, b)
                 if len(i):
                     parts: dict[int, list[int]] = {}
+                    label = group.column("c").to_pylist()
                     for x in sorted({*i.tolist(), *j.tolist()}):
                         parts.setdefault(find(parent, x), []).append(x)
                     for part in parts.values():
-                        own = sorted((rep[x], int(side[x])) for x in part)
+                        own = sorted((rep[x], int(side[x]), label[x]) for x in part)
                         gid = xxhash.xxh3_64_intdigest(repr(own).encode()) - (1 << 63)
-                        out.extend((gid, r, s) for r, s in own)
+                        out.extend((gid, r, s, c) for r, s, c in own)
             if len(out) > 20_000:
                 yield _rows(out, kind)
                 out = []
@@ -175,11 +182,15 @@ def candidates(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield _rows(out, kind)
 
     def _rows(rows: list[tuple], kind: str) -> pa.RecordBatch:
-        g, r, s = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(r).cast(pa.int64() if kind == "bigint" else pa.array(r).type), pa.array(s, pa.int32())], ["gid", "rep", "side"])
+        g, r, s, c = zip(*rows)
+        own = lambda v: pa.array(v).cast(pa.int64() if kind == "bigint" else pa.array(v).type)
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), own(r), pa.array(s, pa.int32()), own(c)], ["gid", "rep", "side", "c"])
 
-    sent = groups.join(reps.select("rep", "n", "sig"), "rep").select("gid", "rep", "side", "n", "sig")
-    return sent.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(emit, f"gid long, rep {kind}, side int").distinct()
+    known = reps.select("rep", "n", "sig", F.col("rep").alias("c"))
+    if comps is not None:
+        known = reps.select("rep", "n", "sig").join(comps.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    sent = groups.join(known, "rep").select("gid", "rep", "side", "n", "sig", "c")
+    return sent.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(released(emit), f"gid long, rep {kind}, side int, c {kind}").distinct()
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -204,7 +215,7 @@ def shared_counts(sets: list[np.ndarray], which: np.ndarray) -> Iterator[tuple[i
 
 
 def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, most: int = PART_SHINGLES) -> DataFrame:
-    """Edges (a, b) that connect, within each part, what links on full sets connect."""
+    """Edges (a, b) that connect, within each part (gid, rep, side, c), what links on full sets connect beside the components c."""
     kind = dict(parts.dtypes)["rep"]
     parts = materialize(parts, "parts", narrow=True)
     needed = materialize(reps.join(parts.select("rep").distinct(), "rep").select("rep", "key", "sig", "n"), "needed")
@@ -224,7 +235,7 @@ def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", F.xxhash64("doc_id").alias("h"))
     # rows of equal doc_id: the one that the representative stands for
-    full = texts.mapInArrow(sets, f"rep {kind}, key binary, values binary").join(needed.withColumnRenamed("key", "own"), "rep").where("key = own")
+    full = texts.mapInArrow(released(sets), f"rep {kind}, key binary, values binary").join(needed.withColumnRenamed("key", "own"), "rep").where("key = own")
     full = full.groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("values").alias("values"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +243,10 @@ def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
             n, side, gid = (group.column(c).to_numpy() for c in ("n", "side", "gid"))
             rep, raw = group.column("rep").to_pylist(), group.column("values")
             i, j = likely(_sig(group.column("sig")), n, side, percent)
-            parent = np.arange(len(n))
+            comp = pd.factorize(group.column("c").to_pandas())[0]
+            apart = comp[i] != comp[j]
+            i, j = i[apart], j[apart]
+            parent = np.unique(comp, return_index=True)[1][comp]  # documents of a component are connected
             cache: dict[int, np.ndarray] = {}
 
             def values(x: int) -> np.ndarray:
@@ -242,7 +256,7 @@ def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
 
             if len(i) > 4 * len(n):  # many likely pairs: each document against all at once
                 for a, common in shared_counts([values(x) for x in range(len(n))], np.unique(i)):
-                    for b in np.flatnonzero(100 * common >= percent * (n[a] + n - common)).tolist():
+                    for b in np.flatnonzero((100 * common >= percent * (n[a] + n - common)) & (comp != comp[a])).tolist():
                         ra, rb = find(parent, a), find(parent, b)
                         parent[ra] = rb
             else:
@@ -252,34 +266,39 @@ def verify(parts: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
                         parent[ra] = rb
             roots = np.array([find(parent, x) for x in range(len(n))])
             order = mix64(np.arange(len(n), dtype=U64) ^ gid.view(U64))  # the centre of each star differs from group to group
-            centre = {}
+            centre: dict[int, int] = {}
+            edges, met = [], set()
             for x in np.argsort(order).tolist():
-                centre.setdefault(int(roots[x]), x)
-            edges = [(rep[centre[int(roots[x])]], rep[x]) for x in range(len(n)) if centre[int(roots[x])] != x]
+                root = int(roots[x])
+                if root not in centre:
+                    centre[root] = x
+                elif int(comp[x]) not in met and comp[x] != comp[centre[root]]:  # one edge connects a component
+                    edges.append((rep[centre[root]], rep[x]))
+                met.add(int(comp[x]))
             if edges:
                 a, b = zip(*edges)
                 yield pa.RecordBatch.from_arrays([pa.array(a, group.column("rep").type), pa.array(b, group.column("rep").type)], ["a", "b"])
 
-    sent = parts.join(full, "rep").select("gid", "rep", "side", "n", "sig", "values")
+    sent = parts.join(full, "rep").select("gid", "rep", "side", "n", "sig", "c", "values")
     sizes = parts.join(needed.select("rep", "n"), "rep").groupBy("gid").agg(F.sum("n").alias("size")).where(F.col("size") > most)
     heavy = materialize(sizes.select("gid", F.ceil(F.col("size") / most).cast("int").alias("slices")), "heavy", narrow=True)
     if heavy.isEmpty():
-        return sent.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(link, f"a {kind}, b {kind}").distinct()
+        return sent.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(released(link), f"a {kind}, b {kind}").distinct()
     sent = materialize(sent, "sets")
     light = sent.join(broadcast_if_small(heavy), "gid", "left_anti")
-    found = light.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(link, f"a {kind}, b {kind}")
+    found = light.repartition("gid").sortWithinPartitions("gid", "rep").mapInArrow(released(link), f"a {kind}, b {kind}")
     return found.union(linked_by_slices(sent.join(broadcast_if_small(heavy), "gid"), kind, percent)).distinct()
 
 
 def linked_by_slices(sent: DataFrame, kind: str, percent: int) -> DataFrame:
     """Edges (a, b) of all links in groups whose sets are too large for one task: each slice of the hashes' range counts what likely
-    pairs share there, and the counts are summed. sent: gid, rep, side, n, sig, values, slices."""
+    pairs share there, and the counts are summed. sent: gid, rep, side, n, sig, c, values, slices."""
     names = ["slice", "gid", "rep", "side", "n", "sig", "values"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                gid, values, slices = batch.column(0)[r].as_py(), np.frombuffer(batch.column(5)[r].as_py(), U64), batch.column(6)[r].as_py()
+                gid, values, slices = batch.column(0)[r].as_py(), np.frombuffer(batch.column(6)[r].as_py(), U64), batch.column(7)[r].as_py()
                 bounds = [0, *np.searchsorted(values, np.array([(i << 64) // slices for i in range(1, slices)], U64)).tolist(), len(values)]
                 keys = pa.array([xxhash.xxh3_64_intdigest(f"{gid},{i}".encode()) - (1 << 63) for i in range(slices)])
                 same = pa.array(np.zeros(slices, np.int64))
@@ -304,8 +323,8 @@ def linked_by_slices(sent: DataFrame, kind: str, percent: int) -> DataFrame:
             gid = group.column("gid").combine_chunks().take(pa.array(i))
             yield pa.RecordBatch.from_arrays([gid, rep.take(pa.array(i)), rep.take(pa.array(j)), pa.array(common), pa.array(n[i] + n[j])], ["gid", "a", "b", "common", "both"])
 
-    sliced = sent.select("gid", "rep", "side", "n", "sig", "values", "slices").mapInArrow(cut, f"slice long, gid long, rep {kind}, side int, n long, sig binary, values binary")
-    counted = sliced.repartition("slice").sortWithinPartitions("slice", "rep").mapInArrow(count, f"gid long, a {kind}, b {kind}, common long, both long")
+    sliced = sent.select("gid", "rep", "side", "n", "sig", "c", "values", "slices").mapInArrow(released(cut), f"slice long, gid long, rep {kind}, side int, n long, sig binary, values binary")
+    counted = sliced.repartition("slice").sortWithinPartitions("slice", "rep").mapInArrow(released(count), f"gid long, a {kind}, b {kind}, common long, both long")
     total = counted.groupBy("gid", "a", "b").agg(F.sum("common").alias("common"), F.max("both").alias("both"))
     return total.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
@@ -331,7 +350,7 @@ def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: in
             break
         if depth % 3 == 1:
             of_node, members = families(large.select("node", "rep"))
-            more = hub_edges(members, docs, reps, k, percent, chunk, part_shingles)
+            more = hub_edges(members, docs, reps, k, percent, chunk, part_shingles, comps)
             edges = more if edges is None else materialize(edges.union(more).distinct(), "links", narrow=True)
             comps = components(edges)
             ready, rest = outside(members, comps, chunk, F.col("o") * F.col("m") <= exact)
@@ -349,7 +368,7 @@ def find_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: in
     together = groups[0]
     for g in groups[1:]:
         together = together.unionByName(g)
-    found = verify(candidates(together, reps, percent), docs, reps, k, percent, part_shingles)
+    found = verify(candidates(together, reps, percent, comps), docs, reps, k, percent, part_shingles)
     return materialize(found if edges is None else edges.union(found), "links", narrow=True)
 
 
@@ -370,14 +389,14 @@ def families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     return of_node, materialize(on_node(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "sizes"), "families", narrow=True)
 
 
-def hub_edges(members: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, chunk: int, part_shingles: int) -> DataFrame:
+def hub_edges(members: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, chunk: int, part_shingles: int, comps: DataFrame | None) -> DataFrame:
     """Links of the documents of families (node, rep, m) with a few hubs of their own."""
     chunks = F.ceil(F.col("m") / chunk)
     hubs = members.groupBy("node", F.pmod(F.xxhash64("rep", "node"), F.lit(HUBS)).alias("cell")).agg(F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("h"), F.max("m").alias("m"))
     hubs = hubs.select("node", F.col("h.rep").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(0).alias("side"))
     rest = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select("node", "rep", "chunk", F.lit(1).alias("side"))
     around = hubs.unionByName(rest).groupBy(F.xxhash64("node", "chunk").alias("gid"), "rep").agg(F.min("side").alias("side"))
-    return materialize(verify(candidates(around, reps, percent), docs, reps, k, percent, part_shingles), "links", narrow=True)
+    return materialize(verify(candidates(around, reps, percent, comps), docs, reps, k, percent, part_shingles), "links", narrow=True)
 
 
 def outside(large: DataFrame, comps: DataFrame, chunk: int, ready: Column) -> tuple[DataFrame, DataFrame]:
@@ -387,12 +406,13 @@ def outside(large: DataFrame, comps: DataFrame, chunk: int, ready: Column) -> tu
     by_comp = labelled.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
     state = by_comp.groupBy("node").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("top.n").alias("top_n"), F.col("top.c").alias("top_c"))
     open_ = on_node(labelled, state, "states")
-    few = F.col("m") - F.col("top_n")
-    chunks, few_chunks = F.ceil(F.col("m") / chunk), F.ceil(few / chunk)
-    split = materialize(open_.withColumns({"o": few, "few": few_chunks, "all": chunks, "i": F.pmod(F.xxhash64("rep", "node"), few_chunks), "j": F.pmod(F.xxhash64("rep"), chunks)}), "split", narrow=True)
+    chunks = F.ceil(F.col("m") / chunk)
+    split = materialize(open_.withColumns({"o": F.col("m") - F.col("top_n"), "all": chunks, "at": F.pmod(F.xxhash64("rep"), chunks)}), "split", narrow=True)
     done = split.where(ready)
-    own = done.where("c <> top_c").select("node", "rep", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
-    every = done.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), "j", F.lit(1).alias("side"))
+    # chunk i's documents outside with chunk j's, but those outside of j only where i <= j: no pair twice
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    own = done.where("c <> top_c").select("node", "rep", F.col("at").alias("i"), upto(F.col("all") - 1).alias("j"), F.lit(0).alias("side"))
+    every = done.select("node", "rep", upto(F.when(F.col("c") == F.col("top_c"), F.col("all") - 1).otherwise(F.col("at"))).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"))
     groups = own.unionByName(every).groupBy(F.xxhash64("node", "i", "j").alias("gid"), "rep").agg(F.min("side").alias("side"))
     return groups, split.where(~ready).select("node", "rep", "m")
 
