@@ -5,8 +5,8 @@ node the tree knows how often it has which sequence of children (presentation) a
 node is the normalised entropy of these: what looks and reads alike on every page of a site is worth nothing. A branch's
 importance is the mean over its nodes, weighted down with depth.
 
-What the tree has measured meets what tags, classes and roles suggest: the log odds of a prior (a menu, a paragraph, any other
-element) and the importance, which weighs more the more pages it was measured on. Branches with negative log odds are removed
+What the tree has measured meets what tags, classes and roles suggest: the log odds of a prior (a menu, a paragraph, an element
+beside the page's article) and the importance, which weighs more the more pages it was measured on. Branches with negative log odds are removed
 from each page, within its article and without. With one page of a site there is little but the prior; with many, a repeated
 list in an article goes and a section with an unlucky class name stays.
 
@@ -26,16 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, materialize, salt_of
+from larkgrid.llm.common import all_salts, bounded_batches, materialize, released, salt_of
 
 #: The importance 0.5 tells nothing, 0 and 1 change the log odds by half of STRENGTH, once there are many more than KAPPA pages.
 STRENGTH, KAPPA, GAMMA = 5.0, 4.0, 0.9
 #: Nodes deeper than DEPTH are counted as part of the node there; no text is lost by it.
 DEPTH = 24
-#: Without an article or main element, a branch with more than MOST of a page's text isn't removed; an article or main is taken from TAKEN of the text.
+#: An article or main element with more than TAKEN of the text is the page's. Without one, a branch with more than MOST of the text isn't removed.
 MOST, TAKEN = 0.75, 0.2
-#: Prior probabilities to be main text: elements of menus and forms, elements that classes or roles call boilerplate, others, headings and what holds the article.
-MENU, CALLED, OTHER, HEADING = 0.05, 0.1, 0.8, 0.9
+#: Prior probabilities to be main text: elements of menus and forms, elements that classes or roles call boilerplate, what stands beside
+#: the page's article, others, headings and what holds the article.
+MENU, CALLED, BESIDE_MAIN, OTHER, HEADING = 0.05, 0.1, 0.1, 0.8, 0.9
 
 # Element names and class words by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -207,23 +208,38 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     return blocks, made
 
 
+def main_level(blocks: list[tuple[Element, str]]) -> int:
+    """What the page's text is in: 2 in an article, 1 in a main element, 0 in neither. Those in menus count if there are no others."""
+    free = [(e, text) for e, text in blocks if e.free]
+    if any(e.main for e, _ in free):
+        blocks = free
+    size = sum(len(text) for _, text in blocks)
+    return next((k for k in (2, 1) if sum(len(text) for e, text in blocks if e.main >= k) > TAKEN * size), 0)
+
+
+def own_text(path: str) -> str:
+    """The path of the text that stands directly in an element around the article."""
+    return path + "/#"
+
+
 def path_hash(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
 def main_text(page: str, noise: set[int] = frozenset()) -> str:
-    """The text of a page without the branches in noise (see path_hash), which the tree of its site names; of its article or main
-    element, if that has a good share of what is left.
+    """The text of a page without the branches in noise (see path_hash), which the tree of its site names.
 
-    An element around the article is never removed (a menu or form if all articles stand in such), nor, where there is no article
-    or main, one with most of the text. A page whose text would all go keeps it: where all of a page repeats, nothing of it is
-    boilerplate.
+    An element around the article is never removed as a whole (a menu or form only if all articles stand in such), nor, where the
+    page's text is in no article or main, one with most of the text. A page whose text would all go keeps its article, or all:
+    where all of a page repeats, nothing of it is boilerplate.
     """
-    blocks, made = parse(page)
+    blocks, _ = parse(page)
     seen = [(e, text) for e, text in blocks if not e.unseen]
-    total = sum(len(text) for _, text in seen)
-    has_main, free_main = any(e.main for e, _ in seen), any(e.main and e.free for e, _ in seen)
-    state: dict[int, tuple[bool, Element | None]] = {}
+    if not noise:
+        return " ".join(text for _, text in seen)
+    level, total = main_level(seen), sum(len(text) for _, text in seen)
+    free_main = any(e.main and e.free for e, _ in seen)
+    state: dict[int, bool] = {}
 
     def removed(e: Element) -> bool:
         """Whether e is in a removed branch. Remembered for all elements on the way, so that deep pages stay linear."""
@@ -236,25 +252,23 @@ def main_text(page: str, noise: set[int] = frozenset()) -> str:
         for y in reversed(way):
             if not gone and y.path and path_hash(y.path) in noise:
                 around = y.holds_main and not (free_main and y.prior < 0)
-                gone = not around and (has_main or y.size <= MOST * total)
+                gone = not around and (level > 0 or y.size <= MOST * total)
             state[id(y)] = gone
         return gone
 
-    if noise and not has_main:
+    if not level:
         for e, text in seen:
             e.size += len(text)
-        for e in reversed(list(_elements(seen))):
+        for e in reversed(_elements(seen)):
             if e.up is not None:
                 e.up.size += e.size
-    kept = [(e, text) for e, text in seen if not removed(e)] if noise else seen
-    kept = kept or seen
-    size = sum(len(text) for _, text in kept)
-    for level in (2, 1):
-        inside = [(e, text) for e, text in kept if e.main >= level]
-        if sum(len(text) for _, text in inside) > TAKEN * size:
-            kept = inside
-            break
-    return " ".join(text for _, text in kept)
+    kept = [text for e, text in seen if not removed(e) and not (beside(e, level) and e.holds_main and path_hash(own_text(e.path)) in noise)]
+    kept = kept or [text for e, text in seen if e.main >= level]
+    return " ".join(kept)
+
+
+def beside(e: Element, level: int) -> bool:
+    return e.main < level
 
 
 def _elements(blocks: list[tuple[Element, str]]) -> list[Element]:
@@ -275,16 +289,22 @@ def _elements(blocks: list[tuple[Element, str]]) -> list[Element]:
 def page_features(page: str) -> list[tuple[str, float, int, int]]:
     """(path, prior, kind, hash) of each path of a page: kind 0 is the children's styles, runs of one style counting once, 1 the text."""
     blocks, made = parse(page)
+    level = main_level([b for b in blocks if not b[0].unseen])
     styles: dict[str, list[str]] = {}
     prior: dict[str, float] = {}
     for e in made[1:]:
         runs = [c for i, c in enumerate(e.children) if not i or c != e.children[i - 1]]
         styles.setdefault(e.path, []).append(" ".join(runs))
-        prior[e.path] = min(e.prior, prior.get(e.path, e.prior))
+        p = min(e.prior, log_odds(BESIDE_MAIN)) if beside(e, level) and not e.holds_main else e.prior
+        prior[e.path] = min(p, prior.get(e.path, p))
     texts: dict[str, list[str]] = {}
     for e, text in blocks:
-        if e.path:
-            texts.setdefault(e.path, []).append(text)
+        path = e.path
+        if beside(e, level) and e.holds_main:
+            path = own_text(path)
+            prior[path] = log_odds(BESIDE_MAIN)
+        if path:
+            texts.setdefault(path, []).append(text)
     out = [(p, prior[p], 0, path_hash("|".join(dict.fromkeys(v)))) for p, v in styles.items() if p not in texts]
     return out + [(p, prior[p], 1, path_hash("|".join(v))) for p, v in texts.items()]
 
@@ -313,7 +333,7 @@ def noise_branches(pages: DataFrame, strength: float = STRENGTH, kappa: float =
         kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "page", "path", "prior", "kind", "value"])
 
-    features = pages.where("html is not null").select(host_of().alias("host"), "html").mapInArrow(emit, "host string, page long, path string, prior double, kind int, value long").distinct()
+    features = pages.where("html is not null").select(host_of().alias("host"), "html").mapInArrow(released(emit), "host string, page long, path string, prior double, kind int, value long").distinct()
     counts = features.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("c"), F.min("prior").alias("prior"))
     nodes = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), F.min("prior").alias("prior"))
     own = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
@@ -340,6 +360,7 @@ def extract(pages: DataFrame) -> DataFrame:
     one space, blocks are joined by one in page order. Equal rows stay; an empty table gives an empty table; an existing column
     text is replaced. Long and deep pages are worked on whole, in time and memory linear in the page.
     """
+    bounded_batches(pages.sparkSession)
     noise = materialize(noise_branches(pages), "noise")
     rest = [c for c in pages.columns if c.lower() != "text"]
     bytes_ = (noise.agg(F.sum(F.size("paths"))).first()[0] or 0) * 8
@@ -354,4 +375,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h.as_py() or "", set(p.as_py() or ())) for h, p in zip(batch.column(at), batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(rest))], pa.array(texts, pa.string())], [*rest, "text"])
 
-    return joined.select(*rest, "__paths").mapInArrow(emit, pages.select(*rest).schema.add("text", "string"))
+    return joined.select(*rest, "__paths").mapInArrow(released(emit), pages.select(*rest).schema.add("text", "string"))
