@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import row_groups, text_buffers
+from larkgrid.llm.common import bounded_batches, released, row_groups, text_buffers
 from larkgrid.llm.tokens import LOWER, U64, hashes, mix64, spans
 
 WINDOW, STRIDE, HIDDEN, ATTEND, WORD_DIM, CHAR_DIM, CHAR_BINS = 48, 32, 16, 8, 6, 6, 1 << 16
 N_GRAMS = (4, 5, 6)
-#: At most so many labelled rows of each class, and bytes of a text, are used for training.
-FIT_POSITIVE, FIT_NEGATIVE, FIT_BYTES, EPOCHS, BATCH = 1000, 2000, 200_000, 4, 64
+#: About so many labelled rows of each class, and bytes of all their texts, are used for training at most; of any length, and whole.
+FIT_POSITIVE, FIT_NEGATIVE, FIT_BYTES, EPOCHS, BATCH = 1000, 2000, 24_000_000, 4, 64
 _PUNCT = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
@@ -335,21 +335,30 @@ def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, positive_sha
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column) -> tuple[list[bytes], np.ndarray, float]:
-    """Texts and labels of at most about FIT_POSITIVE and FIT_NEGATIVE labelled documents of at most FIT_BYTES, by a hash of doc_id; and the share of positives."""
+    """Texts and labels of about FIT_POSITIVE and FIT_NEGATIVE labelled documents at most, by a hash of doc_id, or fewer if their
+    texts would have more than FIT_BYTES; and the share of positives. Whether a text is taken doesn't depend on its length.
+    Null texts teach nothing, rows of equal doc_id have one label, and without labels of both classes there is no sample."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.y: r.n for r in known.groupBy((F.col("toxic") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = counts.get(True, 0), counts.get(False, 0)
     if not n_pos or not n_neg:
         return [], np.zeros(0), 0.0
-    share = F.when(F.col("toxic") > 0, min(1.0, FIT_POSITIVE / n_pos)).otherwise(min(1.0, FIT_NEGATIVE / n_neg))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.octet_length("text").alias("size"), "text")
+    sizes = texts.select("doc_id", "size").join(known, "doc_id").groupBy((F.col("toxic") > 0).alias("y")).agg(F.sum("size").alias("s"))
+    sizes = {r.y: max(1, r.s) for r in sizes.collect()}
+    bytes_ = lambda y: FIT_BYTES / 2 / sizes.get(y, 1)
+    share = F.when(F.col("toxic") > 0, min(1.0, FIT_POSITIVE / n_pos, bytes_(True))).otherwise(min(1.0, FIT_NEGATIVE / n_neg, bytes_(False)))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by the two numbers
+    rows = texts.join(F.broadcast(sample), "doc_id")  # bounded by the two numbers
     found = rows.select("doc_id", F.col("text").cast("binary").alias("text"), (F.col("toxic") > 0).cast("int").alias("y")).toPandas().sort_values(["doc_id", "text"])
     return [bytes(x) for x in found["text"]], found["y"].to_numpy(), n_pos / (n_pos + n_neg)
 
 
 def score_texts(docs: DataFrame, net: Network | None, key: str = "doc_id") -> DataFrame:
-    """(key, score) per row of docs: 0 to 1, higher for toxic. Null and empty texts have the score of no evidence; without a network (no labels of both classes) all have 0."""
+    """(key, score) per row of docs: 0 to 1, higher for toxic. Null and empty texts have the score of no evidence; without a network (no labels of both classes) all have 0.
+    Rows are kept one to one, null and repeated keys included; texts of any length are scored whole, an empty table gives an empty
+    table, and columns but the key and text are not read."""
+    bounded_batches(docs.sparkSession)
     if net is None:
         return docs.select(key, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the training sample
@@ -361,7 +370,7 @@ def score_texts(docs: DataFrame, net: Network | None, key: str = "doc_id") -> Da
                 logits = score_rows(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sigmoid(logits.astype(np.float64)))], [key, "score"])
 
-    return docs.select(key, "text").mapInArrow(score, f"{key} {dict(docs.dtypes)[key]}, score double")
+    return docs.select(key, "text").mapInArrow(released(score), f"{key} {dict(docs.dtypes)[key]}, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Network | None:
