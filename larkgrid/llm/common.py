@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,34 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Salts for joins whose left side may have one key in a third of all rows.
-SALTS = 16
+#: Salts for joins whose left side may have one key in a third of all rows: as many as the application's cores when they are first
+#: asked for, within these bounds. The number is kept, so that both sides of a join always agree.
+FEWEST_SALTS, MOST_SALTS = 16, 1024
+_salts: dict[str, int] = {}
 #: Bytes of text that one vectorised step works on.
 STEP_BYTES = 1 << 21
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold 8 MB at most, whatever the texts' length; for the session, as plans are made late."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Let Arrow batches hold 4 MB at most, or one row, whatever the texts' length; for the session, as plans are made late."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def released(emit: Callable) -> Callable:
+    """emit for mapInArrow, after which the process gives freed memory back: Python workers serve many tasks, and what one of them
+    held once would stay with it beside the executor's heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from emit(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine, and an
+    error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="larkgrid-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -59,12 +82,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+def salts() -> int:
+    context = SparkSession.active().sparkContext
+    return _salts.setdefault(context.applicationId, min(MOST_SALTS, max(FEWEST_SALTS, context.defaultParallelism)))
+
+
+def salt_of(*cols: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(salts())).cast("int")
 
 
-def all_salts(name: str, salts: int = SALTS) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(name)
+def all_salts(name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(salts() - 1))).alias(name)
 
 
 def shared_array(spark: SparkSession, values: np.ndarray):
@@ -115,9 +143,10 @@ def row_groups(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """A written table of short rows, marked for broadcast if its counted size allows it; the same join without the mark otherwise."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """A written table, marked for broadcast if its rows, counted, and its files' bytes are few enough; the same join without the mark otherwise."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most_bytes and df.count() <= most_rows else df
 
 
 def drop_ids(docs: DataFrame, gone: DataFrame, column: str, most_rows: int = 1_000_000) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, drop_ids, in_filter, row_groups, salt_of, text_buffers
+from larkgrid.llm.common import all_salts, bit_filter, bounded_batches, drop_ids, in_filter, released, row_groups, salt_of, text_buffers
 from larkgrid.llm.tokens import U64, mix64, seeds, words
 
 #: Fixed masks: 1 is compared, 0 is ignored. Weight 6 over spans of 6 to 11 words.
@@ -88,7 +88,7 @@ def item_seeds(benchmark: DataFrame, masks: tuple = MASKS, min_words: int = MIN_
                 value, row, at, number = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(number, pa.int32())], ["h", "item_id", "at", "mask"])
 
-    return _texts(benchmark, "item_id").mapInArrow(emit, f"h long, item_id {dict(benchmark.dtypes)['item_id']}, at int, mask int")
+    return _texts(benchmark, "item_id").mapInArrow(released(emit), f"h long, item_id {dict(benchmark.dtypes)['item_id']}, at int, mask int")
 
 
 def find_hits(docs: DataFrame, seeds_of_items: DataFrame, masks: tuple = MASKS, bits: int = FILTER_BITS) -> DataFrame:
@@ -113,7 +113,7 @@ def find_hits(docs: DataFrame, seeds_of_items: DataFrame, masks: tuple = MASKS,
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(value[hit].view(np.int64)), batch.column(0).take(pa.array(row[hit] + i)), pa.array(at[hit].astype(np.int32)), pa.array(np.full(len(hit), m, np.int32))], ["h", "doc_id", "doc_at", "mask"])
 
-    found = _texts(docs, "doc_id").mapInArrow(emit, f"h long, doc_id {kind}, doc_at int, mask int").withColumn("salt", salt_of("doc_id"))
+    found = _texts(docs, "doc_id").mapInArrow(released(emit), f"h long, doc_id {kind}, doc_at int, mask int").withColumn("salt", salt_of("doc_id"))
     items = seeds_of_items.select("*", all_salts("salt"))
     return found.join(items, ["h", "mask", "salt"]).select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
 
@@ -178,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, min_
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], batch.schema.field(2).type.value_type.field("item_id").type), *[pa.array(c, pa.int64()) for c in cols[2:]]], ["doc_id", "item_id", "n_same", "n_span", "item_words", "doc_at"])
 
-    leaks = joined.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}, n_same long, n_span long, item_words long, doc_at long")
+    leaks = joined.mapInArrow(released(verify), f"doc_id {kind}, item_id {item_kind}, n_same long, n_span long, item_words long, doc_at long")
     best = F.max(F.struct("n_same", (-F.col("doc_at")).alias("m"), "n_span", "item_words", "doc_at")).alias("b")  # equal items, equal documents
     return leaks.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_same", "b.n_span", "b.item_words", "b.doc_at")
 

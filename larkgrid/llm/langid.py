@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkgrid.llm.common import all_salts, bounded_batches, drop_ids, materialize, row_groups, salt_of, text_buffers
+from larkgrid.llm.common import all_salts, bounded_batches, drop_ids, materialize, released, row_groups, salt_of, text_buffers
 from larkgrid.llm.tokens import LOWER, mix64
 
 BINS, TEMPER, KAPPA, ACCEPT, UNKNOWN = 1 << 16, 60, 20.0, 0.5, "und"
@@ -80,8 +80,8 @@ def fit(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(v[at])], ["language", "bin", "n"])
 
     # copies within a task go before the exchange, so a text in a third of all rows crosses it once a task
-    rows = rows.mapInArrow(first_of_each, rows.schema).repartition("h")
-    counts = rows.mapInArrow(count, "language string, bin long, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")).toPandas()
+    rows = rows.mapInArrow(released(first_of_each), rows.schema).repartition("h")
+    counts = rows.mapInArrow(released(count), "language string, bin long, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["language"].unique())
     table = np.full((len(languages), BINS), 0.5)
     for i, name in enumerate(languages):
@@ -111,7 +111,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(len(names))], pa.array(n), ll], [*names, "n_grams", "ll"])
 
     fields = rows.select(*names).schema.add("n_grams", "long").add("ll", T.ArrayType(T.DoubleType()))
-    return rows.mapInArrow(score, fields)
+    return rows.mapInArrow(released(score), fields)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str | Column = "text", host: Column | None = None, suffix: Column | None = None, declared: Column | None = None, accept: float = ACCEPT) -> DataFrame:

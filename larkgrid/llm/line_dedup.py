@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, bounded_batches, delete_path, materialize, new_path, salt_of
+from larkgrid.llm.common import all_salts, bounded_batches, delete_path, materialize, new_path, released, salt_of
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
@@ -49,7 +49,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids], ["h", "doc_id"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(emit, f"h binary, doc_id {kind}")
+    return docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(released(emit), f"h binary, doc_id {kind}")
 
 
 class LineRuns:
@@ -148,13 +148,13 @@ class LineRuns:
         self.levels, self.notes = [[]], []
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """docs with repeated lines taken out of text, and n_lines (before) and n_dropped as further columns.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with repeated lines taken out of text, and n_lines (before) and n_dropped as further columns, under the given names.
 
     Lines are what \\n separates; null or empty text is one empty line (null text stays null). A line goes if its key has at
     least min_chars code points and is found in at least min_docs documents, unless its document has the largest doc_id of
     those. Rows of equal doc_id are one document. Rows without a doc_id stay as they are and count for nothing. An empty
-    table gives an empty table. Extra columns pass through; existing n_lines and n_dropped are replaced. Texts are worked on
+    table gives an empty table. Extra columns pass through; existing ones of these names are replaced. Texts are worked on
     whole, one at a time.
     """
     spark = docs.sparkSession
@@ -179,12 +179,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .groupBy(F.col("doc_id").alias("__gone_id"))
         .agg(F.collect_set("h").alias("__gone"))
     )
-    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    rest = [c for c in docs.columns if c.lower() not in counts]
     # rows without doc_id would meet in one task
     joined = docs.where("doc_id is not null").select(*rest).join(gone, F.col("doc_id") == F.col("__gone_id"), "left").drop("__gone_id")
     joined = joined.unionByName(docs.where("doc_id is null").select(*rest, F.lit(None).cast(joined.schema["__gone"].dataType).alias("__gone")))
     at = next(i for i, c in enumerate(joined.columns) if c.lower() == "text")
-    names = [*rest, "n_lines", "n_dropped"]
+    names = [*rest, *counts]
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -202,6 +202,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], names)
 
     fields = docs.select(*rest).schema
-    out = fields.add("n_lines", "long").add("n_dropped", "long")
+    out = fields.add(counts[0], "long").add(counts[1], "long")
     sent = joined.select(*[F.col(c).cast("binary").alias(c) if c.lower() == "text" else F.col(c) for c in rest], "__gone")
-    return sent.mapInArrow(rewrite, out)
+    return sent.mapInArrow(released(rewrite), out)

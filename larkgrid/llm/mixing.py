@@ -94,17 +94,18 @@ def mix_plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
     return materialize(plan.select("__key", "source_size", "target", "whole", F.coalesce("cut", F.lit(SLICES)).alias("cut"), F.coalesce("subcut", F.lit(SLICES)).alias("subcut"), (F.col("need") > 0).alias("some")), "mix-plan")
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, source, ...) with source_size, target and copies, how often the mix takes the document."""
+def with_copies(docs: DataFrame, plan: DataFrame, seed: str = SEED, names: tuple[str, str, str] = ("source_size", "target", "copies")) -> DataFrame:
+    """docs (doc_id, source, ...) with source_size, target and copies, how often the mix takes the document, under the given names;
+    columns of docs of these names are replaced."""
     key = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce(F.col("source"), F.lit("")))
     joined = docs.withColumns({"__key": key, "__salt": salt_of("doc_id"), "__bits": draw(F.col("doc_id"), seed)}).join(
         plan.select("__key", all_salts("__salt"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "cut", "subcut", "some")]), ["__key", "__salt"]
     )
     slice_, sub = F.floor(F.col("__bits") / SLICES), F.col("__bits") % SLICES
     more = F.col("__some") & ((slice_ < F.col("__cut")) | ((slice_ == F.col("__cut")) & (sub < F.col("__subcut"))))
-    clash = [c for c in docs.columns if c.lower() in ("source_size", "target", "copies")]
+    clash = [c for c in docs.columns if c.lower() in names]
     return joined.withColumns({"__copies": F.col("__whole") + more.cast("long")}).select(
-        *[F.col(c) for c in docs.columns if c not in clash], F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies")
+        *[F.col(c) for c in docs.columns if c not in clash], F.col("__source_size").alias(names[0]), F.col("__target").alias(names[1]), F.col("__copies").alias(names[2])
     )
 
 
@@ -112,9 +113,10 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     """The mix: each row of docs as often as the mix takes it, with `copy` (from 1) as a further column.
 
     Null text has size 0, a null source is a source of its own, rows of equal doc_id share their fate, an empty table gives an
-    empty table, a source without words has target 0 and its documents are not taken. Extra columns pass through.
+    empty table, a source without words has target 0 and its documents are not taken. Extra columns pass through,
+    but for one named copy.
     """
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    mixed = with_copies(docs, mix_plan(sized, weights, share, max_epochs, seed), seed)
-    rest = [c for c in docs.columns if c.lower() not in ("copy", "source_size", "target", "copies")]
-    return mixed.where("copies > 0").select(*rest, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    mixed = with_copies(docs, mix_plan(sized, weights, share, max_epochs, seed), seed, ("__size_of", "__aim", "__times"))
+    rest = [c for c in docs.columns if c.lower() != "copy"]
+    return mixed.where("__times > 0").select(*rest, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("copy"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import shared_array
+from larkgrid.llm.common import bounded_batches, released, shared_array
 from larkgrid.llm.tokens import U64, mix64, seeds
 
 K, SKETCHES, TUPLE, SEED = 8, 128, 2, 5
@@ -185,6 +185,7 @@ def edited_neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES, sketches:
     Only rows equal in both share a range whatever their number. An only document is its own next one; an empty table gives an
     empty table. Columns but doc_id and text are not read.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = dict(docs.dtypes)["doc_id"]
     if docs.isEmpty():
@@ -222,7 +223,7 @@ def edited_neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES, sketches:
                 kinds = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], NAMES)
 
-    return both.mapInArrow(stream, OUT.format(kind))
+    return both.mapInArrow(released(stream), OUT.format(kind))
 
 
 def edited_row(last: tuple, next_text: bytes, next_signature: np.ndarray, orders: Orders) -> tuple:

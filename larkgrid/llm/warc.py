@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import all_salts, bounded_batches, broadcast_if_small, delete_path, materialize, new_path, salt_of
+from larkgrid.llm.common import all_salts, bounded_batches, broadcast_if_small, delete_path, materialize, new_path, released, salt_of
 
 MIN_REVISIT_BYTES = 1000
 #: Archives are rolled by size: (payload bytes below which a page belongs to the class, records of a file), so that none has
@@ -225,7 +225,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(parse, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(released(parse), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:

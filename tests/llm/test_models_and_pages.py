@@ -51,7 +51,7 @@ def test_trie_answers_like_a_dictionary():
         assert a == (ngram_lm.to_code(np.log10([(known[k] - d[min(known[k], 3)]) / total[u]]))[0] if k in known else 0)
 
 
-def brute_lm(rows, train):
+def brute_lm(rows, train, order=2):
     tokens = {i: (t or "").split() + ["\n"] for i, t in rows}
     c = collections.Counter(w for i in tokens if train(i) for w in tokens[i])
     pairs = collections.Counter(p for i in tokens if train(i) for p in zip(["\n", *tokens[i]], tokens[i]))
@@ -63,13 +63,22 @@ def brute_lm(rows, train):
     taken = collections.Counter()
     for (u, _), x in pairs.items():
         taken[u] += d2[min(x, 3)]
+    triples = collections.Counter(p for i in tokens if train(i) for p in zip(["\n", "\n", *tokens[i]], ["\n", *tokens[i]], tokens[i]))
+    d3, of, gone = ngram_lm.discounts(*ones(triples)), collections.Counter(), collections.Counter()
+    for (t, u, _), x in triples.items():
+        of[t, u] += x
+        gone[t, u] += d3[min(x, 3)]
     out = {}
     for i, ws in tokens.items():
         score = base = 0.0
-        for u, w in zip(["\n", *ws], ws):
+        for t, u, w in zip(["\n", "\n", *ws], ["\n", *ws], ws):
             p1 = q((c[w] - d1[min(c[w], 3)]) / n) if c[w] else q(p_unknown)
             a = q((pairs[u, w] - d2[min(pairs[u, w], 3)]) / c[u]) if (u, w) in pairs else 0.0
-            score += math.log10(a + (q(taken[u] / c[u]) if c[u] else 1.0) * p1)
+            p2 = a + (q(taken[u] / c[u]) if c[u] else 1.0) * p1
+            if order > 2:
+                b = q((triples[t, u, w] - d3[min(triples[t, u, w], 3)]) / of[t, u]) if (t, u, w) in triples else 0.0
+                p2 = b + (q(gone[t, u] / of[t, u]) if of[t, u] else 1.0) * p2
+            score += math.log10(p2)
             base += math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1)))
         out[i] = (len(ws), sum(c[w] > 0 for w in ws), n, base, score)
     return out
@@ -80,11 +89,12 @@ def test_language_model_matches_brute_force(spark):
     vocab = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choices(vocab, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(0, 80)))) for i in range(200)]
     rows += [(200, None), (201, ""), (202, "never seen words"), (203, " ".join(["hot"] * 30_000))]
-    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(make(spark, rows), "doc_id", F.col("doc_id") % 4 != 1).collect()}
-    expect = brute_lm(rows, lambda i: i % 4 != 1)
-    assert got.keys() == expect.keys()
-    for i in expect:
-        assert got[i][:3] == expect[i][:3] and np.allclose(got[i][3:], expect[i][3:], rtol=1e-9)
+    for order in (2, 3):
+        got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(make(spark, rows).withColumn("train", F.lit("clash")), "doc_id", F.col("doc_id") % 4 != 1, order).collect()}
+        expect = brute_lm(rows, lambda i: i % 4 != 1, order)
+        assert got.keys() == expect.keys()
+        for i in expect:
+            assert got[i][:3] == expect[i][:3] and np.allclose(got[i][3:], expect[i][3:], rtol=1e-9)
 
 
 def test_language_model_of_nothing(spark):
@@ -248,6 +258,7 @@ def test_deep_and_long_pages_take_linear_time():
     began = time.process_time()
     page = "<div>x" * 170_000
     assert style_tree.main_text(page, {1}) == " ".join(["x"] * 170_000) and len(style_tree.page_features(page)) == style_tree.DEPTH
+    assert style_tree.main_text("<article>x</article>" + page, {1}) == " ".join(["x"] * 170_001)
     assert style_tree.main_text("<p><i>" * 60_000 + "y</span>" * 60_000, {1}).count("y") == 60_000
     assert time.process_time() - began < 60
 

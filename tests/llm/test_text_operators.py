@@ -171,7 +171,7 @@ def test_large_groups_of_near_copies_are_whole(spark):
     vocab = [f"w{i}" for i in range(3000)]
     rows = list(enumerate(family(rng, vocab, 150, 4) + family(rng, vocab, 40, 2) + [" ".join(rng.choices(vocab, k=60)) for _ in range(40)]))
     docs = make(spark, rows)
-    for options in ({"leaf": 64, "chunk": 32, "exact": 0}, {"leaf": 16, "chunk": 32, "part_shingles": 500}):
+    for options in ({"leaf": 64, "chunk": 32, "exact": 9000}, {"leaf": 16, "chunk": 32, "part_shingles": 500}):
         got = chosen_path.near_duplicates(docs, 3, 85, **options).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_components(rows, 3, 85)
 
@@ -181,20 +181,22 @@ def test_unlinked_documents_with_a_template_part_ways(spark, monkeypatch):
     rng = random.Random(14)
     vocab = [f"w{i}" for i in range(5000)]
     template = rng.choices(vocab, k=60)
-    own = [rng.choices(vocab, k=60) for _ in range(1500)]
-    pairs = [family(rng, vocab, 2, 3, 60) for _ in range(0)] + [[" ".join(template + x), " ".join(template + x[:58] + ["changed", "end"])] for x in (rng.choices(vocab, k=60) for _ in range(40))]
+    own = [rng.choices(vocab, k=60) for _ in range(500)]
+    pairs = [[" ".join(template + x), " ".join(template + x[:58] + ["changed", "end"])] for x in (rng.choices(vocab, k=60) for _ in range(40))]
     rows = list(enumerate([" ".join(template + x) for x in own] + [t for p in pairs for t in p]))
-    compared = spark.sparkContext.accumulator(0)
-    whole = chosen_path.likely
-
-    def counted(sig, n, side, percent):
-        compared.add(int((side == 0).sum()) * len(n))
-        return whole(sig, n, side, percent)
-
-    monkeypatch.setattr(chosen_path, "likely", counted)
-    got = chosen_path.near_duplicates(make(spark, rows), 3, 85, leaf=128, exact=0).collect()
-    assert {(r.component_id, r.doc_id) for r in got if not r.kept} == {(1500 + 2 * i, 1501 + 2 * i) for i in range(40)}
-    assert compared.value < len(rows) * np.log2(len(rows)) * 128
+    asked, whole = [], chosen_path.candidates
+
+    def noted(groups, *more):
+        sizes = groups.groupBy("gid").agg(F.count_if(F.col("side") == 0).alias("own"), F.count(F.lit(1)).alias("n"))
+        asked.append(sizes.agg(F.sum(F.col("own") * (F.col("n") - F.col("own")) + F.col("own") * (F.col("own") - 1) / 2)).first()[0] or 0)
+        return whole(groups, *more)
+
+    monkeypatch.setattr(chosen_path, "candidates", noted)
+    for exact in (0, chosen_path.EXACT):  # by branching alone, and as one family
+        asked.clear()
+        got = chosen_path.near_duplicates(make(spark, rows), 3, 85, leaf=128, exact=exact).collect()
+        assert {(r.component_id, r.doc_id) for r in got if not r.kept} == {(500 + 2 * i, 501 + 2 * i) for i in range(40)}
+        assert sum(asked) < len(rows) * np.log2(len(rows)) * 128
 
 
 def test_bit_filter_knows_every_hash(spark):
