@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkgrid.llm import chosen_path, decontaminate, langid, line_dedup, mixing
 from larkgrid.llm.common import new_path, table
 
-#: SQL can't express the language model, the chosen path and the seeds; tests/llm compares run() with a brute-force version.
+#: SQL can't express the language model, the chosen path and the seeds; tests/llm compares run() with brute-force stages.
 ORACLE_SQL = None
 
 
@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text; a document that loses all its lines stays, empty."""
-    out = line_dedup.dedup_lines(docs)
-    n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    out = line_dedup.dedup_lines(docs, counts=("__lines", "__gone_lines"))
+    n_chars = F.when(F.col("__gone_lines") > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
