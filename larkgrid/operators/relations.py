@@ -60,7 +60,16 @@ def offset_pairs(frames: DataFrame, shot: str, index: str, gaps: list[int]) -> D
 
 
 def face_adjacency(faces: DataFrame, face: str, vertex: str, shared: int = 1) -> DataFrame:
-    """Pairs of faces that share at least `shared` vertices, each once."""
+    """Pairs of faces that share at least `shared` vertices, each once, and how many they share.
+
+    For two or more, faces meet by the pairs of their vertices, which few have in common, and not by single vertices, of which one
+    may belong to very many faces; k shared vertices are k (k - 1) / 2 shared pairs.
+    """
+    if shared > 1:
+        corners = faces.groupBy(face).agg(F.collect_set(vertex).alias("vs")).select(face, F.explode("vs").alias("v"), "vs").select(face, "v", F.explode("vs").alias("w")).where("v < w")
+        a, b = corners.withColumnRenamed(face, "a"), corners.withColumnRenamed(face, "b")
+        pairs = a.join(b, ["v", "w"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("p"))
+        return pairs.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("p"))) / 2).cast("long").alias("n")).where(F.col("n") >= shared)
     a, b = faces.select(vertex, F.col(face).alias("a")).distinct(), faces.select(vertex, F.col(face).alias("b")).distinct()
     pairs = a.join(b, vertex).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared)

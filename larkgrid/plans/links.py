@@ -249,9 +249,10 @@ SELECT c_custkey, round(-sin(l0) * dx + cos(l0) * dy, 3) AS e, round(-sin(p0) *
 
 def pixel_projection(spark: SparkSession, d: str) -> DataFrame:
     """Points into a camera whose quaternion and offset follow from the supplier, and back to rays."""
-    i = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     a = F.radians(F.col("s_nationkey") * 3.0)
-    q = (F.cos(a / 2), F.lit(0.0), F.lit(0.0), F.sin(a / 2))
+    cameras = table(spark, d, "supplier").select("s_suppkey", F.cos(a / 2).alias("qw"), F.sin(a / 2).alias("qz"))  # once a camera, not a point
+    i = table(spark, d, "lineitem").join(cameras, F.col("l_suppkey") == F.col("s_suppkey"))
+    q = (F.col("qw"), F.lit(0.0), F.lit(0.0), F.col("qz"))
     p = camera.to_camera(q, (F.lit(1.0), F.lit(-2.0), F.lit(60.0)), F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100)
     u, v = camera.project(*p, F.lit(800.0), F.lit(-0.05), F.lit(640.0), F.lit(360.0))
     return i.select("l_orderkey", "l_linenumber", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
