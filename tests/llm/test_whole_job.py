@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkgrid.llm import decontaminate, langid, omh, queries, style_tree, warc
+from larkgrid.llm import chosen_path, components, decontaminate, langid, omh, queries, style_tree, warc
 from test_models_and_pages import alone
 
 
@@ -120,3 +120,17 @@ def test_revisits_are_resolved_through_refers_to(spark, tmp_path, monkeypatch):
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in queries.op8_warc(spark, str(tmp_path)).collect()}
     assert got == {1: (1200, "revisit", 7), 7: (1200, "response", None), 3: (5, "response", None)}
     assert "payload" in seen and "http_headers" in seen
+
+
+def test_near_duplicates_broadcast_no_table_that_grows(spark, monkeypatch):
+    sizes = []
+    plain = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sizes.append(df.count()) or plain(df))
+    # 35 000 texts, each twice, and 70 000 vertices in chains of five
+    v = F.col("id")
+    docs = spark.range(70_000).select(v.alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(x), F.floor(v / 2).cast("string")) for x in "abc"]).alias("text"))
+    found = chosen_path.near_duplicates(docs, 3, 85)
+    assert found.where("n_shingles = 1 AND component_id = doc_id - doc_id % 2 AND kept = (doc_id % 2 = 0)").count() == found.count() == 70_000
+    chains = components.components(spark.range(70_000).where("id % 5 < 4").select(v.alias("a"), (v + 1).alias("b")))
+    assert chains.where("c = v - v % 5").count() == chains.count() == 70_000
+    assert max(sizes, default=0) <= 30_000
