@@ -35,6 +35,8 @@ from larkgrid.llm.tokens import U64, mix64, words
 BLOCK_BYTES, TOKENS_PER_SHARD, LEAST_SHARDS, HOT_SPLIT = 1 << 22, 3_000_000, 48, 64
 #: A word is hot, and its successors are spread, from this part of a shard's mean number of tokens.
 HOT_PART = 16
+#: Shards of the triple level for one of the pair level: a text has more distinct triples than pairs.
+TRIPLE_SHARDS = 2
 END = mix64(np.array([0xE0D], U64))[0]
 #: Codes of log10 values: 1 to 255 stand for LOWEST to 0 in equal steps, 0 for nothing.
 LOWEST = -10.0
@@ -302,7 +304,7 @@ def pair_level(joined: DataFrame, shards: int, word_shards: int, unknown: int, b
                 if order > 2:
                     b.triples()
                     counts = np.bincount(b.triple, weights=np.repeat(b.train, b.sizes), minlength=len(b.t_word)).astype(np.int64)
-                    rows += [(shards + s, row["block"], squeeze(key, True), squeeze(counts[at])) for s, at, key in b.triple_keys(unknown, bits, shards)]
+                    rows += [(shards + s, row["block"], squeeze(key, True), squeeze(counts[at])) for s, at, key in b.triple_keys(unknown, bits, TRIPLE_SHARDS * shards)]
                 if rows:
                     yield _rows(rows, ["shard", "block", "pairs", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
@@ -404,7 +406,7 @@ def score_texts(docs: DataFrame, key: str, train: Column, order: int = 3) -> Dat
                 if order > 2:
                     b.triples()
                     alpha, gamma = np.zeros(len(b.t_word), np.uint8), np.zeros(len(b.t_word), np.uint8)
-                    for s, triples, _ in b.triple_keys(unknown, bits, shards):
+                    for s, triples, _ in b.triple_keys(unknown, bits, TRIPLE_SHARDS * shards):
                         alpha[triples], gamma[triples] = unsqueeze(heard_of[shards + s]["alpha"]), unsqueeze(heard_of[shards + s]["gamma"])
                     of_token = np.log10(_VALUE[alpha] + _VALUE[np.where(gamma == 0, 255, gamma)] * by_pair[b.t_pair])[b.triple]
                 base = np.log10((c + 0.5) / (n_train + 0.5 * (n_words + 1)))

@@ -2,13 +2,14 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkgrid.llm import chosen_path, components, decontaminate, langid, omh, queries, style_tree, warc
-from test_models_and_pages import alone
+from test_models_and_pages import alone, brute_lm
 
 
 def make(spark, rows, schema="doc_id long, text string"):
@@ -134,3 +135,16 @@ def test_near_duplicates_broadcast_no_table_that_grows(spark, monkeypatch):
     chains = components.components(spark.range(70_000).where("id % 5 < 4").select(v.alias("a"), (v + 1).alias("b")))
     assert chains.where("c = v - v % 5").count() == chains.count() == 70_000
     assert max(sizes, default=0) <= 30_000
+
+
+def test_registered_language_model_has_three_levels(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(12)], k=rng.randint(0, 60)))) for i in range(120)] + [(120, None), (121, "never seen")]
+    make(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    learnt = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    expect, pairs = brute_lm(rows, learnt, 3), brute_lm(rows, learnt, 2)
+    got = {r.doc_id: r for r in queries.op2_lm_score(spark, str(tmp_path)).collect()}
+    assert got.keys() == expect.keys() and any(abs(expect[i][4] - pairs[i][4]) > 1 for i in expect)
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == expect[i][:3] and r.held_out == (not learnt(i))
+        assert np.allclose((r.base_score, r.score), expect[i][3:], rtol=1e-9)
