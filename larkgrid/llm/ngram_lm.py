@@ -1,15 +1,20 @@
 """Language-model scoring with an Elias-Fano n-gram trie that is sharded over the cluster.
 
 Texts are cut into blocks. A block sends its distinct words, with their training counts, to the shards of the word level, and
-gets back identifiers (shards number their words by rank) and counts. Then it sends its distinct pairs (context, word) to the
-shards of the pair level. A shard of that level is a trie: contexts, pointers to their successors and the successors
-themselves, relative to the context before, are rising sequences in Elias-Fano form, next to 8-bit codes of the smoothed
-probabilities. The shard maps it from a file, answers its requests by successor search and returns two bytes per distinct
-pair. So the model is spread over all machines, nothing is pruned, and what moves is one number per distinct pair of a block.
+gets back identifiers (shards number their words by rank) and counts. From then on it holds these instead of its words. Then it
+sends its distinct pairs (context, word) to the shards of the pair level. A shard of that level is a trie: contexts, pointers to
+their successors and the successors themselves, relative to the context before, are rising sequences in Elias-Fano form, next to
+8-bit codes of the smoothed probabilities. The shard maps it from a file, answers its requests by successor search and returns two
+bytes per distinct pair. So the model is spread over all machines, nothing is pruned, and what moves is one number per distinct pair
+of a block.
 
 With order 3, shards of a third level do the same for triples. Their contexts, pairs of words, are named by hashes of as many bits
 as a 64-bit key has beside the word; two contexts of a shard share a name with a probability of about one in a million.
 
+What is sent to the pair and triple levels is by far the largest. It crosses the cluster twice, first for the discounts, which need
+the counts of all shards, then for the answers, and is written to no table. Shuffles go with their step, the tables of words with the
+last that reads them; the numbered blocks and the answers stay, as the result is read from them.
+
 Smoothing is interpolated absolute discounting with three discounts per level: p(w|u) = alpha(u,w) + gamma(u) p(w), and likewise
 p(w|t,u) = alpha(t,u,w) + gamma(t,u) p(w|u); p(unknown) is what the discounts of the word level leave. The start of a text has the
 end token as its context, twice.
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkgrid.llm.chosen_path import grouped
-from larkgrid.llm.common import bounded_batches, delete_path, materialize, new_path, released, row_groups, text_buffers
+from larkgrid.llm.common import bounded_batches, delete_path, new_path, released, row_groups, shuffles_freed, text_buffers
 from larkgrid.llm.elias_fano import EliasFano, encode, map_block, pack, squeeze, unsqueeze
 from larkgrid.llm.tokens import U64, mix64, words
 
@@ -60,8 +65,9 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts - d[np.minimum(counts, 3).astype(np.int64)]
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """docs: key, train (boolean), text. One row per block: keys, train flags, tokens per text (end included), distinct words and the texts as numbers of these."""
+def blocks(docs: DataFrame, shards: int) -> DataFrame:
+    """docs: key, train (boolean), text. One row per block: keys, train flags, tokens per text (end included), distinct words by shard
+    and value, the number of the end token among them, and the texts as such numbers."""
     kind = dict(docs.dtypes)["key"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,14 +79,19 @@ def blocks(docs: DataFrame) -> DataFrame:
                 h, before = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 h = np.insert(h, before[1:], END)
                 codes, uniques = pd.factorize(h)
+                order = np.lexsort((uniques, uniques % U64(shards)))
+                number_of = np.empty_like(order)
+                number_of[order] = np.arange(len(order))
+                codes, uniques = number_of[codes], uniques[order]
                 keys = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
                 sizes = np.diff(before) + 1
                 tokens = np.bincount(codes, weights=np.repeat(train[i:j], sizes), minlength=len(uniques))
                 number += 1
-                blobs = (np.packbits(train[i:j]).tobytes(), squeeze(sizes), uniques.tobytes(), squeeze(tokens), squeeze(codes))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), keys, *[pa.array([x], pa.binary()) for x in blobs]], ["block", "keys", "train", "sizes", "words", "counts", "codes"])
+                end = np.flatnonzero(uniques == END)
+                blobs = (np.packbits(train[i:j]).tobytes(), squeeze(sizes), squeeze(uniques, True), squeeze(tokens), squeeze(codes))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), keys, pa.array(end, pa.int64()), *[pa.array([x], pa.binary()) for x in blobs]], ["block", "keys", "end", "train", "sizes", "words", "counts", "codes"])
 
-    return docs.mapInArrow(released(emit), f"block long, keys array<{kind}>, train binary, sizes binary, words binary, counts binary, codes binary")
+    return docs.mapInArrow(released(emit), f"block long, keys array<{kind}>, end long, train binary, sizes binary, words binary, counts binary, codes binary")
 
 
 def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -115,20 +126,20 @@ def together(asked: list[np.ndarray], search) -> Iterator[tuple[np.ndarray, np.n
 
 
 def word_level(blocks_: DataFrame, shards: int, parts: int) -> DataFrame:
-    """Requests and answers of the words: per block and shard (block, shard, known, ids, counts), and a row with block -1 per shard with its statistics."""
+    """Requests and answers of the words: per block and shard (block, shard, n, known, ids, counts), and a row with block -1 per shard with its statistics."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                uniques, counts = np.frombuffer(batch.column(1)[r].as_py(), U64), unsqueeze(batch.column(2)[r].as_py())
+                uniques, counts = unsqueeze(batch.column(1)[r].as_py(), True), unsqueeze(batch.column(2)[r].as_py())
                 rows = []
                 for s, at in by_shard(uniques % U64(shards), uniques):
                     rows.append((s, batch.column(0)[r].as_py(), squeeze(uniques[at], True), squeeze(counts[at])))
                 yield _rows(rows, ["shard", "block", "words", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "shard", "known", "ids", "counts", "stats"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        names = ["block", "shard", "n", "known", "ids", "counts", "stats"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for group in grouped(batches):
             shard = group.column("shard")[0].as_py()
             asked = [unsqueeze(x.as_py(), True) for x in group.column("words")]
@@ -136,13 +147,13 @@ def word_level(blocks_: DataFrame, shards: int, parts: int) -> DataFrame:
             level = EliasFano(encode(hashes))  # the words of this shard, held compact while it answers
             del hashes
             stats = [len(counts), int(counts.sum()), *(int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4))]
-            yield _rows([(-1, shard, None, None, None, stats)], names, kinds)
+            yield _rows([(-1, shard, None, None, None, None, stats)], names, kinds)
             for block, (at, equal) in zip(group.column("block").to_pylist(), together(asked, level.successor)):
-                yield _rows([(block, shard, np.packbits(equal).tobytes(), squeeze(at[equal], True), squeeze(counts[at[equal]]), None)], names, kinds)
+                yield _rows([(block, shard, len(equal), np.packbits(equal).tobytes(), squeeze(at[equal], True), squeeze(counts[at[equal]]), None)], names, kinds)
 
     sent = blocks_.select("block", "words", "counts").mapInArrow(released(ask), "shard long, block long, words binary, counts binary")
     sent = sent.repartition(parts, "shard").sortWithinPartitions("shard", "block")
-    return sent.mapInArrow(released(answer), "block long, shard long, known binary, ids binary, counts binary, stats array<long>")
+    return sent.mapInArrow(released(answer), "block long, shard long, n long, known binary, ids binary, counts binary, stats array<long>")
 
 
 def hot_words(answered: DataFrame, shards: int, hot: float) -> dict[int, int]:
@@ -173,31 +184,44 @@ def by_shard(shard: np.ndarray, order_by: np.ndarray) -> Iterator[tuple[int, np.
         yield int(s[a]), order[a:b]
 
 
+def numbered(joined: DataFrame, shards: int, unknown: int) -> DataFrame:
+    """joined: blocks with the answers of the word level. Blocks with identifiers and counts instead of words."""
+    names = ["block", "keys", "end", "train", "sizes", "codes"]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, counts = [], []
+                for a in sorted(batch.column(len(names))[r].as_py(), key=lambda a: a["shard"]):  # the order of a block's words
+                    known = np.unpackbits(np.frombuffer(a["known"], np.uint8), count=a["n"]).astype(bool)
+                    ids.append(np.full(a["n"], unknown, U64))
+                    ids[-1][known] = unsqueeze(a["ids"], True) * U64(shards) + U64(a["shard"])
+                    counts.append(np.zeros(a["n"], U64))
+                    counts[-1][known] = unsqueeze(a["counts"])
+                blobs = [pa.array([squeeze(np.concatenate(x))], pa.binary()) for x in (ids, counts)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(r, 1) for i in range(len(names))], *blobs], [*names, "ids", "counts"])
+
+    kinds = dict(joined.dtypes)
+    return joined.select(*names, "answers").mapInArrow(released(settle), ", ".join(f"{n} {kinds[n]}" for n in names) + ", ids binary, counts binary")
+
+
 class Block:
     """A block with the identifiers and counts of its words, and its distinct pairs."""
 
-    def __init__(self, row: dict, shards: int, unknown: int, hot: float):
-        self.uniques = np.frombuffer(row["words"], U64)
-        self.ids, self.counts = np.full(len(self.uniques), unknown, U64), np.zeros(len(self.uniques), np.int64)
-        answers = {a["shard"]: a for a in row["answers"] or ()}
-        for s, at in by_shard(self.uniques % U64(shards), self.uniques):
-            a = answers[s]
-            known = at[np.unpackbits(np.frombuffer(a["known"], np.uint8), count=len(at)).astype(bool)]
-            self.ids[known] = unsqueeze(a["ids"], True) * U64(shards) + U64(s)
-            self.counts[known] = unsqueeze(a["counts"])
+    def __init__(self, row: dict, hot: float):
+        self.ids, self.counts = unsqueeze(row["ids"]), unsqueeze(row["counts"]).astype(np.int64)
         self.codes = unsqueeze(row["codes"]).astype(np.int64)
         self.sizes = unsqueeze(row["sizes"]).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(self.sizes)).astype(bool)
-        end = int(np.flatnonzero(self.uniques == END)[0])
         context = np.empty_like(self.codes)
         context[1:] = self.codes[:-1]
-        context[self.starts] = end
+        context[self.starts] = row["end"]
         # distinct pairs, only of known contexts; all unknown words are one
-        word = np.where(self.counts > 0, np.arange(len(self.uniques)), len(self.uniques))[self.codes]
-        local = context * (len(self.uniques) + 1) + word
+        word = np.where(self.counts > 0, np.arange(len(self.ids)), len(self.ids))[self.codes]
+        local = context * (len(self.ids) + 1) + word
         self.pair, pairs = pd.factorize(local)
-        self.u, self.w = pairs // (len(self.uniques) + 1), pairs % (len(self.uniques) + 1)
+        self.u, self.w = pairs // (len(self.ids) + 1), pairs % (len(self.ids) + 1)
         self.ask = np.flatnonzero(self.counts[self.u] > 0)
         self.hot, self.word = hot, word
 
@@ -206,19 +230,19 @@ class Block:
         context = np.empty_like(self.pair)
         context[1:] = self.pair[:-1]
         context[self.starts] = len(self.u)
-        local = context.astype(np.int64) * (len(self.uniques) + 1) + self.word
+        local = context.astype(np.int64) * (len(self.ids) + 1) + self.word
         self.triple, distinct = pd.factorize(local)
-        self.t_context, self.t_word = distinct // (len(self.uniques) + 1), distinct % (len(self.uniques) + 1)
+        self.t_context, self.t_word = distinct // (len(self.ids) + 1), distinct % (len(self.ids) + 1)
         self.t_pair = np.empty(len(distinct), np.int64)
         self.t_pair[self.triple] = self.pair
-        known = np.append((self.counts[self.u] > 0) & (self.w < len(self.uniques)), True)
+        known = np.append((self.counts[self.u] > 0) & (self.w < len(self.ids)), True)
         self.t_ask = np.flatnonzero(known[self.t_context])
 
     def triple_keys(self, unknown: int, bits: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, triple numbers, keys rising) for each shard of the triple level."""
         ids = np.append(self.ids, U64(unknown))
         with np.errstate(over="ignore"):
-            named = mix64(mix64(ids[np.append(self.u, len(self.uniques))]) + ids[np.append(self.w, len(self.uniques))])
+            named = mix64(mix64(ids[np.append(self.u, len(self.ids))]) + ids[np.append(self.w, len(self.ids))])
         h = named[self.t_context[self.t_ask]]
         key = (h >> U64(bits) << U64(bits)) | ids[self.t_word[self.t_ask]]
         for s, at in by_shard((h & ((U64(1) << U64(bits)) - U64(1))) % U64(shards), key):
@@ -291,14 +315,14 @@ class Trie:
         return alpha, gamma
 
 
-def pair_level(joined: DataFrame, shards: int, word_shards: int, unknown: int, bits: int, hot: float, hot_ids: list[int], parts: int, order: int) -> DataFrame:
-    """Per shard: distinct training pairs and counts, statistics, those of hot contexts, and the requests of all blocks. The shards of
-    the triple level follow those of the pair level."""
+def requests(known: DataFrame, shards: int, unknown: int, bits: int, hot: float, parts: int, order: int) -> DataFrame:
+    """The distinct pairs and triples of all blocks with their training counts, by shard. The shards of the triple level follow those of
+    the pair level."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, word_shards, unknown, hot)
+                b = Block(row, hot)
                 counts = np.bincount(b.pair, weights=np.repeat(b.train, b.sizes), minlength=len(b.u)).astype(np.int64)
                 rows = [(s, row["block"], squeeze(key, True), squeeze(counts[at])) for s, at, key in b.keys(unknown, bits, shards)]
                 if order > 2:
@@ -308,40 +332,60 @@ def pair_level(joined: DataFrame, shards: int, word_shards: int, unknown: int, b
                 if rows:
                     yield _rows(rows, ["shard", "block", "pairs", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    sent = known.drop("keys").mapInArrow(released(ask), "shard long, block long, pairs binary, counts binary")
+    return sent.repartition(parts, "shard").sortWithinPartitions("shard", "block")
+
+
+def merged_group(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct training keys of the requests to one shard, and their counts."""
+    return merged([unsqueeze(x.as_py(), True) for x in group.column("pairs")], [unsqueeze(x.as_py()).astype(np.int64) for x in group.column("counts")])
+
+
+def statistics(sent: DataFrame, shards: int, bits: int, hot_ids: list[int]) -> DataFrame:
+    """Per shard: the numbers of keys that occur once to four times, and for each hot context those of its successors here that occur
+    once, twice and more often."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
-            keys, counts = merged([unsqueeze(x.as_py(), True) for x in group.column("pairs")], [unsqueeze(x.as_py()).astype(np.int64) for x in group.column("counts")])
+            shard = group.column("shard")[0].as_py()
+            keys, counts = merged_group(group)
             stats = [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
-            mine = np.isin(keys >> U64(bits), np.array(hot_ids if group.column("shard")[0].as_py() < shards else [], U64))
+            mine = np.isin(keys >> U64(bits), np.array(hot_ids if shard < shards else [], U64))
             spread = []
             if mine.any():
                 u, kind = (keys[mine] >> U64(bits)).astype(np.int64), np.minimum(counts[mine], 3)
                 for x in np.unique(u).tolist():
                     spread.append([x, *(int(np.count_nonzero(kind[u == x] == k)) for k in (1, 2, 3))])
-            yield _rows([(group.column("shard")[0].as_py(), squeeze(keys, True), squeeze(counts), stats, spread, group.column("block").to_pylist(), group.column("pairs").to_pylist())], ["shard", "pairs", "counts", "stats", "spread", "blocks", "asked"], kinds)
+            yield _rows([(shard, stats, spread)], ["shard", "stats", "spread"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))])
 
-    sent = joined.mapInArrow(released(ask), "shard long, block long, pairs binary, counts binary").repartition(parts, "shard").sortWithinPartitions("shard", "block")
-    return sent.mapInArrow(released(merge), "shard long, pairs binary, counts binary, stats array<long>, spread array<array<long>>, blocks array<long>, asked array<binary>")
+    return sent.mapInArrow(released(count), "shard long, stats array<long>, spread array<array<long>>")
 
 
-def answers_of_pairs(level: DataFrame, shards: int, bits: int, d: np.ndarray, d_triple: np.ndarray, hot: dict[int, tuple[float, float]]) -> DataFrame:
+def answers_of_pairs(sent: DataFrame, shards: int, bits: int, d: np.ndarray, d_triple: np.ndarray, hot: dict[int, tuple[float, float]]) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                shard, keys, counts, asking, asked = (batch.column(i)[r] for i in range(5))
-                own, spread = (d, hot) if shard.as_py() < shards else (d_triple, {})
-                trie = Trie(build_trie(unsqueeze(keys.as_py(), True), unsqueeze(counts.as_py()), bits, own, spread), bits, spread)
-                rows = []
-                for block, (alpha, gamma) in zip(asking.as_py(), together([unsqueeze(x.as_py(), True) for x in asked], trie.query)):
-                    rows.append((block, shard.as_py(), squeeze(alpha), squeeze(gamma)))
-                    if len(rows) == 64:
-                        yield _rows(rows, ["block", "shard", "alpha", "gamma"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
-                        rows = []
-                if rows:
+        for group in grouped(batches):
+            shard = group.column("shard")[0].as_py()
+            own, spread = (d, hot) if shard < shards else (d_triple, {})
+            trie = Trie(build_trie(*merged_group(group), bits, own, spread), bits, spread)
+            rows = []
+            asked = [unsqueeze(x.as_py(), True) for x in group.column("pairs")]
+            for block, (alpha, gamma) in zip(group.column("block").to_pylist(), together(asked, trie.query)):
+                rows.append((block, shard, squeeze(alpha), squeeze(gamma)))
+                if len(rows) == 64:
                     yield _rows(rows, ["block", "shard", "alpha", "gamma"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+                    rows = []
+            if rows:
+                yield _rows(rows, ["block", "shard", "alpha", "gamma"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    return sent.mapInArrow(released(answer), "block long, shard long, alpha binary, gamma binary")
+
 
-    return level.select("shard", "pairs", "counts", "blocks", "asked").mapInArrow(released(answer), "block long, shard long, alpha binary, gamma binary")
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df, written to the shared folder and read back, and its path. No shuffle files are left."""
+    path = new_path(df.sparkSession, label)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -359,11 +403,11 @@ def score_texts(docs: DataFrame, key: str, train: Column, order: int = 3) -> Dat
     bounded_batches(spark)
     rows = docs.select(F.col(key).alias("key"), train.alias("train"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["key"]
-    all_blocks = materialize(blocks(rows), "lm-blocks")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, ceil(n_bytes / 6 / TOKENS_PER_SHARD))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answered = materialize(word_level(all_blocks, shards, parts), "lm-words")
+    all_blocks, blocks_path = written(blocks(rows, shards), "lm-blocks")
+    answered, words_path = written(word_level(all_blocks, shards, parts), "lm-words")
     stats = answered.where("block = -1").select(*[F.col("stats")[i].alias(f"s{i}") for i in range(6)]).agg(F.max("s0"), *[F.sum(f"s{i}") for i in range(6)]).first()
     widest, n_words, n_train, *ones = (int(x or 0) for x in stats)
     unknown = (widest + 1) * shards
@@ -372,28 +416,28 @@ def score_texts(docs: DataFrame, key: str, train: Column, order: int = 3) -> Dat
         raise ValueError("more than 2**32 words; give shards a wider key")
     hot = n_train / (shards * HOT_PART)
     top_counts = hot_words(answered, shards, hot)
-    heard = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "known", "ids", "counts")).alias("answers"))
-    joined = all_blocks.drop("keys", "counts").join(heard, "block")
-    path = new_path(spark, "lm-pairs")
-    pair_level(joined, shards, shards, unknown, bits, hot, list(top_counts), parts, order).write.parquet(path)
-    level = spark.read.parquet(path)
+    heard = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n", "known", "ids", "counts")).alias("answers"))
+    known, _ = written(numbered(all_blocks.drop("words", "counts").join(heard, "block"), shards, unknown), "lm-numbered")
+    delete_path(spark, blocks_path)
+    delete_path(spark, words_path)
+    sent = requests(known, shards, unknown, bits, hot, parts, order)
+    level, _ = written(statistics(sent, shards, bits, list(top_counts)), "lm-counts")
     of_level = lambda own: discounts(*[int(x or 0) for x in level.where(own).agg(*[F.sum(F.col("stats")[i]) for i in range(4)]).first()])
     d_word, d_pair, d_triple = discounts(*ones), of_level(F.col("shard") < shards), of_level(F.col("shard") >= shards)
     spread = level.select(F.explode("spread").alias("s")).groupBy(F.col("s")[0].alias("u")).agg(*[F.sum(F.col("s")[i]).alias(f"n{i}") for i in (1, 2, 3)]).collect()  # as many as top_counts
     hot_gamma = {r.u: (float(top_counts[r.u]), float(np.dot([r.n1, r.n2, r.n3], d_pair[1:]) / top_counts[r.u])) for r in spread}
-    pair_answers = materialize(answers_of_pairs(level, shards, bits, d_pair, d_triple, hot_gamma), "lm-answers")
-    delete_path(spark, path)
+    pair_answers, _ = written(answers_of_pairs(sent, shards, bits, d_pair, d_triple, hot_gamma), "lm-answers")
     heard2 = pair_answers.groupBy("block").agg(F.collect_list(F.struct("shard", "alpha", "gamma")).alias("pair_answers"))
-    final = all_blocks.drop("counts").join(heard, "block").join(heard2, "block", "left")
+    final = known.join(heard2, "block", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {n: i for i, n in enumerate(["block", "keys", "train", "sizes", "words", "codes", "answers", "pair_answers"])}
+        at = {n: i for i, n in enumerate(["block", "keys", "end", "train", "sizes", "codes", "ids", "counts", "pair_answers"])}
         kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         p_unknown = float(np.dot([ones[0], ones[1], n_words - ones[0] - ones[1]], d_word[1:]) / n_train) if n_train else 1.0
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch.column(i)[r].as_py() for n, i in at.items() if n != "keys"}
-                b = Block(row, shards, unknown, hot)
+                b = Block(row, hot)
                 c = b.counts
                 p = np.where(c > 0, discounted(c, d_word) / max(n_train, 1), p_unknown)
                 p = np.append(_VALUE[to_code(np.log10(np.maximum(p, 1e-30)))], _VALUE[to_code(np.log10([max(p_unknown, 1e-30)]))])
@@ -414,5 +458,5 @@ def score_texts(docs: DataFrame, key: str, train: Column, order: int = 3) -> Dat
                 cols = [b.train, b.sizes, per_text((c > 0).astype(np.int64)[b.codes]), np.full(len(b.sizes), n_train), per_text(base[b.codes]), per_text(of_token)]
                 yield pa.RecordBatch.from_arrays([batch.column(at["keys"])[r].values, *[pa.array(x, k) for x, k in zip(cols, kinds)]], [key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    final = final.select("block", "keys", "train", "sizes", "words", "codes", "answers", "pair_answers")
+    final = final.select("block", "keys", "end", "train", "sizes", "codes", "ids", "counts", "pair_answers")
     return final.mapInArrow(released(score), f"{key} {kind}, train boolean, {SCORES}")
