@@ -85,7 +85,9 @@ def intrinsics_matrix(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
 def hms_seconds(text: Column) -> Column:
     """H:M:S, M:S or S to seconds, null where a part doesn't parse."""
     parts = F.split(F.trim(text), ":")
-    return F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + F.try_to_number(p, F.lit("999999D999999")).cast("double"))
+    # any number of digits; white space within a part doesn't count
+    number = lambda p: F.when(p.rlike(r"^(\d+\.?\d*|\.\d+)$"), p.cast("double"))
+    return F.aggregate(F.transform(parts, lambda p: F.regexp_replace(p, r"\s", "")), F.lit(0.0), lambda a, p: a * 60 + number(p))
 
 
 def voxel_key(x: Column, y: Column, z: Column, size: float) -> Column:

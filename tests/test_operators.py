@@ -114,6 +114,12 @@ def test_camera(spark):
         spark.range(1).select(*camera.intrinsics(F.lit(640), F.lit(480), F.lit(190.0))).collect()
 
 
+def test_clock_texts_of_any_length(spark):
+    texts = {"1200002": 1200002.0, "1:2345678.1234567": 2345738.1234567, " 1 : 2 ": 62.0, "1 000": 1000.0, ".5": 0.5, "5.": 5.0, "1e3": None, "-5": None, "x:1": None, "": None, "1::2": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.s for r in df.select("t", camera.hms_seconds(F.col("t")).alias("s")).collect()} == texts
+
+
 def test_interpolation_edges(spark):
     track = spark.createDataFrame([("a", 0.0, 10.0, 350.0), ("a", 10.0, 12.0, 10.0), ("a", 20.0, None, 30.0), ("b", 5.0, 1.0, 1.0)], "run string, t double, lat double, heading double")
     probe = spark.createDataFrame([("a", -1.0), ("a", 5.0), ("a", 10.0), ("a", 15.0), ("a", 99.0), ("b", 0.0), ("c", 1.0)], "run string, t double")
