@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkgrid.operators import kdtree
+
 XYZ = ("x", "y", "z")
 
 
@@ -54,52 +56,18 @@ def voxel_iou(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return sides.agg(both.alias("n_both"), F.count(F.lit(1)).alias("n_any"), F.round(both / F.count(F.lit(1)), 6).alias("iou"))
 
 
-def within(probe: DataFrame, ref: DataFrame, radius: float, key: str, ref_key: str, keep: list[str] = (), k: int = 1) -> DataFrame:
-    """The k nearest reference points no farther than radius: (key, ref_key, distance, keep, rank).
+def within(probe: DataFrame, ref: DataFrame, radius: float, key: str, ref_key: str, keep: list[str] = (), k: int = 1, checkpoint=None) -> DataFrame:
+    """The k nearest reference points no farther than radius: (key, ref_key, distance, keep, rank)."""
+    return kdtree.nearest(probe, ref, key, ref_key, list(keep), k, radius, checkpoint)
 
-    An equi-join on cells as large as the radius, the reference in its own cell and the 26 around it, so no pair of farther
-    cells ever meets.
-    """
-    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(l).alias("l")) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)])).alias("d")
-    r = ref.select(F.col(ref_key).alias("__rk"), *[F.col(a).alias(f"__{a}") for a in XYZ], *[F.col(c).alias(f"__k_{c}") for c in keep], *[c.alias(n) for n, c in cells(radius).items()]).select("*", shift)
-    r = r.withColumns({f"c{a}": F.col(f"c{a}") + F.col("d")[n] for a, n in zip(XYZ, "ijl")}).drop("d")
-    p = probe.select(key, *XYZ, *[c.alias(n) for n, c in cells(radius).items()])
-    distance = F.sqrt(sum(((F.col(a) - F.col(f"__{a}")) ** 2 for a in XYZ[1:]), (F.col("x") - F.col("__x")) ** 2))
-    near = p.join(r, ["cx", "cy", "cz"]).withColumn("distance", distance).where(F.col("distance") <= radius)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "__rk"))).where(F.col("rank") <= k)
-    return ranked.select(key, F.col("__rk").alias(ref_key), "distance", *[F.col(f"__k_{c}").alias(c) for c in keep], "rank")
-
-
-def nearest(probe: DataFrame, ref: DataFrame, key: str, ref_key: str, keep: list[str] = (), k: int = 1, start: float | None = None, checkpoint=None) -> DataFrame:
-    """The k nearest reference points of every probe point, exactly, by rings that double until each has k proven ones.
-
-    A neighbour is proven if it lies within the radius of the round, because all points within it have been seen. The first
-    radius follows from the density of the reference; each round only carries the points that are still open. A round's pairs
-    are kept by `checkpoint` (DataFrame, name -> DataFrame), a written table on a cluster, or else persisted. Fewer than k reference points give as many as there are.
+
+def nearest(probe: DataFrame, ref: DataFrame, key: str, ref_key: str, keep: list[str] = (), k: int = 1, checkpoint=None) -> DataFrame:
+    """The k nearest reference points of every probe point, exactly: (key, ref_key, distance, keep, rank).
+
+    Two rounds over a k-d tree of the reference. Its steps are kept by `checkpoint` (DataFrame, name -> DataFrame), a written
+    table on a cluster, or else persisted. Fewer than k reference points give as many as there are.
     """
-    box = ref.agg(F.count(F.lit(1)).alias("n"), *[F.max(a).alias(f"{a}1") for a in XYZ], *[F.min(a).alias(f"{a}0") for a in XYZ]).first()
-    reach = probe.agg(*[F.max(a).alias(f"{a}1") for a in XYZ], *[F.min(a).alias(f"{a}0") for a in XYZ]).first()
-    if not box.n or reach.x1 is None:
-        return within(probe, ref, 1.0, key, ref_key, keep, k)
-    span = [max(box[f"{a}1"] - box[f"{a}0"], 1e-9) for a in XYZ]
-    whole = sum((max(box[f"{a}1"], reach[f"{a}1"]) - min(box[f"{a}0"], reach[f"{a}0"])) ** 2 for a in XYZ) ** 0.5 + 1e-9
-    k = min(k, box.n)
-    # about eight reference points in a cell, were they spread evenly
-    radius = start or min(whole, max((8 * span[0] * span[1] * span[2] / box.n) ** (1 / 3), max(span) / box.n))
-    done, open_ = None, probe
-    for _ in range(64):
-        found = within(open_, ref, radius, key, ref_key, keep, k)
-        found = checkpoint(found, "nearest") if checkpoint else found.persist()
-        full = found.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == k).select(key)
-        settled = found.join(full, key, "left_semi")
-        done = settled if done is None else done.unionByName(settled)
-        if radius >= whole:
-            break
-        open_ = open_.join(full, key, "left_anti")
-        if open_.isEmpty():
-            break
-        radius = min(whole, radius * 2)
-    return done
+    return kdtree.nearest(probe, ref, key, ref_key, list(keep), k, float("inf"), checkpoint)
 
 
 def completeness(distances: DataFrame, threshold: float) -> DataFrame:

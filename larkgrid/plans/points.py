@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkgrid.functions import camera
 from larkgrid.operators import clouds, select
-from larkgrid.plans.common import CLOUD, cloud, table
+from larkgrid.plans.common import CLOUD, cloud, table, written
 
 
 def cloud_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, cid) AS r
 
 def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
     p, c = _two_clouds(spark, d)
-    return clouds.nearest(p, c, "pid", "cid").select("pid", "cid", F.round("distance", 4).alias("distance"))
+    return clouds.nearest(p, c, "pid", "cid", checkpoint=written).select("pid", "cid", F.round("distance", 4).alias("distance"))
 
 
 NEAREST = f"WITH {_TWO} SELECT pid, cid, round(distance, 4) AS distance FROM r WHERE rank = 1"
@@ -104,7 +104,7 @@ NEAREST = f"WITH {_TWO} SELECT pid, cid, round(distance, 4) AS distance FROM r W
 def knn_mean(spark: SparkSession, d: str) -> DataFrame:
     """The mean attribute of the four nearest points."""
     p, c = _two_clouds(spark, d)
-    near = clouds.nearest(p, c.withColumn("tone", F.col("y") / 7), "pid", "cid", ["tone"], k=4)
+    near = clouds.nearest(p, c.withColumn("tone", F.col("y") / 7), "pid", "cid", ["tone"], k=4, checkpoint=written)
     return near.groupBy("pid").agg(F.round(F.avg("tone"), 4).alias("tone"), F.count(F.lit(1)).alias("k"))
 
 
@@ -113,7 +113,7 @@ KNN_MEAN = f"WITH {_TWO} SELECT pid, round(avg(cy / 7), 4) AS tone, count(*) AS
 
 def radius_neighbours(spark: SparkSession, d: str) -> DataFrame:
     p, c = _two_clouds(spark, d)
-    return clouds.within(p, c, 2.0, "pid", "cid", k=3).select("pid", "cid", F.round("distance", 4).alias("distance"), "rank")
+    return clouds.within(p, c, 2.0, "pid", "cid", k=3, checkpoint=written).select("pid", "cid", F.round("distance", 4).alias("distance"), "rank")
 
 
 RADIUS = f"WITH {_TWO} SELECT pid, cid, round(distance, 4) AS distance, rank::INT AS rank FROM r WHERE rank <= 3 AND distance <= 2.0"
@@ -121,7 +121,7 @@ RADIUS = f"WITH {_TWO} SELECT pid, cid, round(distance, 4) AS distance, rank::IN
 
 def completeness(spark: SparkSession, d: str) -> DataFrame:
     p, c = _two_clouds(spark, d)
-    return clouds.completeness(clouds.nearest(p, c, "pid", "cid"), 1.0)
+    return clouds.completeness(clouds.nearest(p, c, "pid", "cid", checkpoint=written), 1.0)
 
 
 COMPLETENESS = f"WITH {_TWO} SELECT round(avg((distance <= 1.0)::INT::DOUBLE), 6) AS ratio, round(avg(distance), 6) AS mean_distance FROM r WHERE rank = 1"
@@ -129,7 +129,7 @@ COMPLETENESS = f"WITH {_TWO} SELECT round(avg((distance <= 1.0)::INT::DOUBLE), 6
 
 def chamfer(spark: SparkSession, d: str) -> DataFrame:
     p, c = _two_clouds(spark, d)
-    return clouds.chamfer(clouds.nearest(p, c, "pid", "cid"), clouds.nearest(c, p, "cid", "pid"))
+    return clouds.chamfer(clouds.nearest(p, c, "pid", "cid", checkpoint=written), clouds.nearest(c, p, "cid", "pid", checkpoint=written))
 
 
 CHAMFER = f"""

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -139,6 +140,24 @@ def test_nearest_matches_brute_force(spark):
     assert clouds.nearest(p, r.limit(0), "pid", "rid").count() == 0 and clouds.nearest(p, r.limit(2), "pid", "rid", k=5).count() == 240
 
 
+def test_nearest_over_many_leaves_matches_brute_force(spark, monkeypatch):
+    """Lines of points, equal distances, copies and a far point, which made all points share a cell; 4e8 pairs would not be done in time."""
+    rng = np.random.default_rng(8)
+    line = lambda n, dx: np.c_[rng.integers(0, 8, n) * dx, np.round(rng.uniform(0, 4, n), 3), rng.integers(0, 3, n)].astype(float)
+    a, b = line(20_000, 1), np.r_[line(19_999, 2), [[1e7, 0, 0]]]
+    rows = lambda v, k: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], f"{k} long, x double, y double, z double")
+    p, r = rows(a, "pid"), rows(b, "rid")
+    monkeypatch.setattr(clouds.kdtree, "LEAF", 256)
+    start = time.time()
+    near = {(x.pid, x["rank"]): (x.rid, x.distance) for x in clouds.nearest(p, r, "pid", "rid", k=3).collect()}
+    within = {(x.pid, x["rank"]): (x.rid, x.distance) for x in clouds.within(p, r, 0.9, "pid", "rid", k=3).collect()}
+    assert time.time() - start < 120 and len(near) == 60_000
+    assert within == {k: v for k, v in near.items() if v[1] <= 0.9}
+    for i in range(0, 20_000, 97):
+        d = np.sqrt((a[i, 0] - b[:, 0]) ** 2 + (a[i, 1] - b[:, 1]) ** 2 + (a[i, 2] - b[:, 2]) ** 2)
+        assert [near[i, k] for k in (1, 2, 3)] == [(int(j), d[j]) for j in np.lexsort((np.arange(len(b)), d))[:3]]
+
+
 def test_bounds_of_nothing_is_an_error(spark):
     with pytest.raises(Exception, match="no points"):
         clouds.bounds(spark.createDataFrame([], "x double, y double, z double")).collect()
