@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkgrid.functions import camera
-from larkgrid.operators import clouds, select
+from larkgrid.operators import clouds, select, similar
 from larkgrid.plans.common import CLOUD, cloud, table, written
 
 
@@ -204,12 +204,7 @@ SELECT colour, coalesce(arg_max(pid, (y, -pid)) FILTER (z > 8 AND x < 10), max(p
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The four most similar keyframes among those of the same place (label), by descriptor."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("norm", F.sqrt(dot("v", "v")))
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
-    scored = pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(dot("a.v", "b.v") / (F.col("a.norm") * F.col("b.norm")), 6).alias("cosine"))
-    return select.top_k(scored, ["a"], [F.col("cosine").desc(), F.col("b")], 4)
+    return similar.cosine_top_k(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 4)
 
 
 COSINE = """

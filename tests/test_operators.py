@@ -158,6 +158,36 @@ def test_nearest_over_many_leaves_matches_brute_force(spark, monkeypatch):
         assert [near[i, k] for k in (1, 2, 3)] == [(int(j), d[j]) for j in np.lexsort((np.arange(len(b)), d))[:3]]
 
 
+def test_cosine_blocks_match_brute_force(spark):
+    """Several blocks, equal vectors, a vector of zeros and a missing one; rows of one group are not paired one by one."""
+    from larkgrid.operators import similar
+
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (300, 3)).astype(float)
+    v[:40] = v[0] = [1.0, 2.0, 1.0]
+    v[(v == 0).all(1)] = [1.0, 0.0, 0.0]
+    v[299] = 0.0
+    rows = [(i, i % 2, None if i == 298 else [float(x) for x in v[i]]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<float>")
+    found = similar.cosine_top_k(df, "g", "id", "v", 4, block=32)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = {(r.a, r["rank"]): (r.b, r.cosine) for r in found.collect()}
+    assert len(got) == 1200
+
+    def cosine(i, j):
+        if 298 in (i, j):
+            return None
+        s = lambda x, y: sum(p * q for p, q in zip(x, y))
+        return math.nan if 299 in (i, j) else round(s(v[i], v[j]) / (math.sqrt(s(v[i], v[i])) * math.sqrt(s(v[j], v[j]))), 6) + 0.0
+
+    for i in range(300):
+        all_ = [(j, cosine(i, j)) for j in range(i % 2, 300, 2) if j != i]
+        place = lambda o: math.inf if o[1] is None else -math.inf if math.isnan(o[1]) else -o[1]
+        for k, (j, c) in enumerate(sorted(all_, key=lambda o: (place(o), o[0]))[:4], 1):
+            b, x = got[i, k]
+            assert b == j and (x == c or (c is not None and math.isnan(c) and math.isnan(x)))
+
+
 def test_bounds_of_nothing_is_an_error(spark):
     with pytest.raises(Exception, match="no points"):
         clouds.bounds(spark.createDataFrame([], "x double, y double, z double")).collect()
