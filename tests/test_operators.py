@@ -188,6 +188,22 @@ def test_cosine_blocks_match_brute_force(spark):
             assert b == j and (x == c or (c is not None and math.isnan(c) and math.isnan(x)))
 
 
+def test_robust_lines_take_equal_points_once(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.integers(0, 9, 60), rng.integers(1, 9, 60)).astype(float)
+    y = np.round(1 + 3 * x + rng.integers(-2, 3, len(x)) * 0.25, 2)
+    y[:20] += 40
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y)], "g int, x double, y double")
+
+    def fit(px, py, times=None):
+        return float(len(px)), *fits.cauchy_line(px, py, times)[:2]
+
+    whole = fits.cauchy_line(x, y)
+    r = fits.robust_lines(df, ["g"], "x", "y").first()
+    assert np.allclose([r.a, r.b, r.scale], whole) and r.n == len(x)
+    assert fits.robust_lines(df, ["g"], "x", "y", fit).first().a == len({*zip(x, y)}) < len(x)
+
+
 def test_bounds_of_nothing_is_an_error(spark):
     with pytest.raises(Exception, match="no points"):
         clouds.bounds(spark.createDataFrame([], "x double, y double, z double")).collect()
