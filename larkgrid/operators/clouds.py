@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkgrid.operators import kdtree
+from larkgrid.operators.ranks import percentiles
 
 XYZ = ("x", "y", "z")
 
@@ -87,6 +88,8 @@ def distance_bands(df: DataFrame, distance: str, edges: list[float]) -> DataFram
     band = F.lit(len(edges) - 1)
     for i in range(len(edges) - 1, 0, -1):
         band = F.when(F.col(distance) < edges[i], i - 1).otherwise(band)
-    per = df.where(F.col(distance) >= edges[0]).groupBy(band.cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(distance), 2).alias("median"), F.round(F.percentile(distance, F.lit(0.9)), 2).alias("p90"))
+    inside = df.where(F.col(distance) >= edges[0]).select(band.cast("int").alias("band"), F.col(distance).alias("__d"))
+    ranks = percentiles(inside, ["band"], "__d", {"median": 0.5, "p90": 0.9}).select("band", F.round("median", 2).alias("median"), F.round("p90", 2).alias("p90"))
+    per = inside.groupBy("band").agg(F.count(F.lit(1)).alias("n")).join(ranks, "band")
     total = per.agg(F.sum("n").alias("total"))
     return per.crossJoin(total).withColumn("share", F.round(F.col("n") / F.col("total"), 3)).drop("total")  # one row per band and one in all
